@@ -1,19 +1,20 @@
 """Date expressions: calendar parts of a day and observed federal holidays.
 
-Holidays are decided per date by arithmetic on the date itself, so the flags
-are narrow projections: no dimension table, no join, no range to size.
+Whether a day is an observed holiday depends on its weekday, month and day of
+month alone, and so do the flags of its neighbours.  Each flag is therefore a
+lookup of one integer in a set of constants, which Spark compiles to a switch:
+no dimension table, no join, no range of years to size.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import math
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONDAY, THURSDAY, FRIDAY, SATURDAY, SUNDAY = 0, 3, 4, 5, 6
+MONDAY, TUESDAY, THURSDAY, FRIDAY, SATURDAY, SUNDAY = 0, 1, 3, 4, 5, 6
 
 # Fixed values: (month, weekday, which one in the month); -1 is the last one.
 FLOATING_HOLIDAYS = {
@@ -34,61 +35,76 @@ FIXED_HOLIDAYS = {
 }
 
 
-def _any(conditions: list[Column]) -> Column:
-    return reduce(or_, conditions)
+DayKey = tuple[int, int, int]  # weekday, month, day of month
 
 
-def _is_floating(day: Column, month: int, weekday: int, nth: int) -> Column:
+def _moved(key: DayKey, days: int) -> DayKey:
+    """The key of the day that lies ``days`` after a day with this key.
+
+    No holiday lies within four days of the end of February, so any year serves.
+    """
+    weekday, month, day = key
+    other = dt.date(2001, month, day) + dt.timedelta(days)
+    return (weekday + days) % 7, other.month, other.day
+
+
+def _floating_keys(month: int, weekday: int, nth: int) -> set[DayKey]:
     if nth > 0:
-        place = F.ceil(F.dayofmonth(day) / 7) == nth
+        days = range(7 * nth - 6, 7 * nth + 1)
     else:
-        place = F.month(F.date_add(day, 7)) != month
-    return (F.month(day) == month) & (F.weekday(day) == weekday) & place
+        last = (dt.date(2001, month % 12 + 1, 1) - dt.timedelta(1)).day
+        days = range(last - 6, last + 1)
+    return {(weekday, month, day) for day in days}
 
 
-def _is_fixed(day: Column, month: int, dayofmonth: int) -> Column:
-    return (F.month(day) == month) & (F.dayofmonth(day) == dayofmonth)
+def _observed_keys(month: int, day: int) -> set[DayKey]:
+    on_the_day = {(weekday, month, day) for weekday in range(SATURDAY)}
+    return on_the_day | {_moved((SATURDAY, month, day), -1), _moved((SUNDAY, month, day), 1)}
 
 
-def _is_observed(day: Column, month: int, dayofmonth: int) -> Column:
-    weekday = F.weekday(day)
-    return (
-        ((weekday < SATURDAY) & _is_fixed(day, month, dayofmonth))
-        | ((weekday == FRIDAY) & _is_fixed(F.date_add(day, 1), month, dayofmonth))
-        | ((weekday == MONDAY) & _is_fixed(F.date_sub(day, 1), month, dayofmonth))
+HOLIDAY_KEYS: dict[str, set[DayKey]] = {
+    **{name: _floating_keys(*rule) for name, rule in FLOATING_HOLIDAYS.items()},
+    **{name: _observed_keys(*rule) for name, rule in FIXED_HOLIDAYS.items()},
+}
+_HOLIDAYS = set().union(*HOLIDAY_KEYS.values())
+_BRIDGES = {
+    key
+    for holiday in _HOLIDAYS
+    for key in (
+        _moved(holiday, -3),
+        _moved(holiday, -1),
+        _moved(holiday, 1),
+        _moved(holiday, 3),
     )
+    # Friday before a Monday or after a Thursday; Monday after a Friday or before a Tuesday.
+    if (key[0], holiday[0]) in {(FRIDAY, MONDAY), (FRIDAY, THURSDAY), (MONDAY, FRIDAY), (MONDAY, TUESDAY)}
+}
+FLAG_KEYS: dict[str, set[DayKey]] = {
+    "is_holiday": _HOLIDAYS,
+    "is_day_before_holiday": {_moved(key, -1) for key in _HOLIDAYS},
+    "is_day_after_holiday": {_moved(key, 1) for key in _HOLIDAYS},
+    "is_bridge_day": _BRIDGES,
+}
+
+
+def _in_keys(day: Column, keys: set[DayKey]) -> Column:
+    number = F.weekday(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day)
+    return number.isin(sorted(w * 10000 + m * 100 + d for w, m, d in keys))
 
 
 def is_federal_holiday(day: Column) -> Column:
     """True on the observed date of one of the eleven federal holidays."""
-    return _any(
-        [_is_floating(day, *rule) for rule in FLOATING_HOLIDAYS.values()]
-        + [_is_observed(day, *rule) for rule in FIXED_HOLIDAYS.values()]
-    )
+    return _in_keys(day, _HOLIDAYS)
 
 
 def federal_holiday_name(day: Column) -> Column:
     """Name of the holiday observed on ``day``, NULL on other days."""
-    rules = {name: _is_floating(day, *rule) for name, rule in FLOATING_HOLIDAYS.items()}
-    rules |= {name: _is_observed(day, *rule) for name, rule in FIXED_HOLIDAYS.items()}
-    return F.coalesce(*[F.when(rule, F.lit(name)) for name, rule in rules.items()])
+    return F.coalesce(*[F.when(_in_keys(day, keys), F.lit(name)) for name, keys in HOLIDAY_KEYS.items()])
 
 
 def holiday_flags(day: Column) -> dict[str, Column]:
     """The four 0/1 holiday indicators of a day."""
-    weekday = F.weekday(day)
-    tomorrow = is_federal_holiday(F.date_add(day, 1))
-    yesterday = is_federal_holiday(F.date_sub(day, 1))
-    bridge = (
-        ((weekday == FRIDAY) & (is_federal_holiday(F.date_add(day, 3)) | yesterday))
-        | ((weekday == MONDAY) & (is_federal_holiday(F.date_sub(day, 3)) | tomorrow))
-    )
-    return {
-        "is_holiday": is_federal_holiday(day).cast("int"),
-        "is_day_before_holiday": tomorrow.cast("int"),
-        "is_day_after_holiday": yesterday.cast("int"),
-        "is_bridge_day": bridge.cast("int"),
-    }
+    return {name: _in_keys(day, keys).cast("int") for name, keys in FLAG_KEYS.items()}
 
 
 def calendar_parts(day: Column) -> dict[str, Column]:

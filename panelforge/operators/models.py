@@ -58,11 +58,6 @@ class TierModel:
         return self.regressor.getNumTrees
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """Features computed once for several fits, kept in the checkpoint folder."""
-    return cut_lineage(df)
-
-
 def _assembled(df: DataFrame, entities: DataFrame, features: list[str]) -> DataFrame:
     joined = df.join(entities, "respondent", "left")
     inputs = {

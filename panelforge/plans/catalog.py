@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.functions.dates import calendar_parts, cyclical_parts, holiday_flags
@@ -23,8 +23,10 @@ from panelforge.operators import (
     splits,
 )
 from panelforge.plans import sql as q
-from panelforge.schema import FEATURE_COLUMNS, METADATA_COLUMNS, RAW_COLUMNS, SERIES
+from panelforge.schema import SERIES
+from panelforge.session import cut_lineage
 from panelforge.sources import pages, tables
+from panelforge.streaming.rollups import daily_quality, daily_rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,17 +50,42 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.supplier_panel(spark, sf_dir).select("period", "respondent", *SERIES.values())
 
 
-def feature_table(spark: SparkSession, sf_dir: str, drop_na_target: bool = True) -> DataFrame:
-    return features.build_features(wide(spark, sf_dir), tables.nation_tiers(spark, sf_dir), drop_na_target)
+def stored_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel as a written table, for plans that use it more than once: the raw rows are read once."""
+    return cut_lineage(wide(spark, sf_dir))
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.panel_to_long(wide(spark, sf_dir))
+
+
+def region_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = cut_lineage(tables.supplier_panel(spark, sf_dir))
+    return tables.panel_to_long(tables.with_regions(stored, tables.table(spark, sf_dir, "region")))
+
+
+def build(spark: SparkSession, sf_dir: str, source: DataFrame, drop_na_target: bool = True) -> DataFrame:
+    return features.build_features(source, tables.nation_tiers(spark, sf_dir), drop_na_target)
+
+
+def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build(spark, sf_dir, wide(spark, sf_dir))
+
+
+def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build(spark, sf_dir, stored_wide(spark, sf_dir))
+
+
+def with_prediction(df: DataFrame) -> DataFrame:
+    return df.withColumn("prediction", scoring.stand_in_prediction())
 
 
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feature_table(spark, sf_dir).withColumn("prediction", scoring.stand_in_prediction())
+    return with_prediction(feature_table(spark, sf_dir))
 
 
 def split_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = predicted(spark, sf_dir)
-    return splits.split_time_series(df)
+    return splits.split_time_series(with_prediction(stored_features(spark, sf_dir)))
 
 
 def with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +221,7 @@ def _(spark, sf_dir):
 
 @query("full_scan", q.with_(q.OBS, "SELECT * FROM obs"))
 def _(spark, sf_dir):
-    return tables.observations(spark, sf_dir).drop("_ingested_at", "_source_route")
+    return observations(spark, sf_dir).drop("_ingested_at", "_source_route")
 
 
 @query(
@@ -225,7 +252,7 @@ FOCUS_SQL = ", ".join(f"'{n}'" for n in FOCUS)
     ),
 )
 def _(spark, sf_dir):
-    df = tables.observations(spark, sf_dir)
+    df = observations(spark, sf_dir)
     out = panel.filter_window(df, "1994-01-01", "1997-12-31", FOCUS, ["D", "TI"])
     return out.select("period", "respondent", "type", "value")
 
@@ -244,13 +271,13 @@ def _(spark, sf_dir):
     names = nations.join(asia, F.col("n_regionkey") == F.col("r_regionkey"), "left_semi").select(
         F.col("n_name").alias("respondent")
     )
-    df = ingest.restrict_to(tables.observations(spark, sf_dir), names)
+    df = ingest.restrict_to(observations(spark, sf_dir), names)
     return df.select("period", "respondent", "type", "value")
 
 
 @query("long_view", q.with_(q.OBS, "SELECT period, respondent, type, value FROM obs ORDER BY 1, 2, 3"))
 def _(spark, sf_dir):
-    return panel.long_view(tables.observations(spark, sf_dir)).select("period", "respondent", "type", "value")
+    return panel.long_view(observations(spark, sf_dir)).select("period", "respondent", "type", "value")
 
 
 @query(
@@ -269,7 +296,7 @@ def _(spark, sf_dir):
 
 @query("wide_panel", q.with_(q.PANEL, "SELECT period, respondent, demand, demand_forecast, net_generation, interchange FROM panel"))
 def _(spark, sf_dir):
-    return panel.to_wide(tables.observations(spark, sf_dir))
+    return panel.to_wide(observations(spark, sf_dir))
 
 
 @query(
@@ -298,7 +325,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    df = tables.observations(spark, sf_dir)
+    df = observations(spark, sf_dir)
     names = tables.table(spark, sf_dir, "nation").select(F.col("n_name").alias("respondent"))
     known = ingest.restrict_to(names, ingest.distinct_entities(df))
     out = ingest.restrict_to(panel.filter_window(df, "1995-01-01", "1996-12-31"), ingest.first_entities(known, 5))
@@ -354,12 +381,12 @@ NEGATIVE_BY_ENTITY = q.with_(
 
 @query("negative_values", NEGATIVE_BY_ENTITY)
 def _(spark, sf_dir):
-    return quality.negative_values(tables.observations(spark, sf_dir), ["NG"])
+    return quality.negative_values(observations(spark, sf_dir), ["NG"])
 
 
 @query("negative_top_entities", f"SELECT respondent, CAST(SUM(n) AS BIGINT) AS n FROM ({NEGATIVE_BY_ENTITY}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def _(spark, sf_dir):
-    return quality.top_entities(quality.negative_values(tables.observations(spark, sf_dir), ["NG"]))
+    return quality.top_entities(quality.negative_values(observations(spark, sf_dir), ["NG"]))
 
 
 def _discount_rows(spark, sf_dir):
@@ -389,7 +416,7 @@ def _(spark, sf_dir):
 
 def _coverage(spark, sf_dir):
     regions = tables.table(spark, sf_dir, "region").select(F.col("r_name").alias("respondent"))
-    return quality.build_coverage(tables.observations_with_regions(spark, sf_dir), regions)
+    return quality.build_coverage(region_observations(spark, sf_dir), regions)
 
 
 @query("coverage_matrix", q.with_(q.COVERAGE, "SELECT * FROM coverage"))
@@ -443,7 +470,7 @@ def _(spark, sf_dir):
 
 @query("leakage_watch", q.with_(q.OBS, "SELECT BOOL_OR(type = 'D') AND BOOL_OR(type = 'DF') AS forecast_present FROM obs"))
 def _(spark, sf_dir):
-    return quality.leakage_watch(tables.observations(spark, sf_dir))
+    return quality.leakage_watch(observations(spark, sf_dir))
 
 
 VALIDATION_SQL = (
@@ -467,7 +494,7 @@ def _validated(spark, sf_dir):
     regions = tables.table(spark, sf_dir, "region").select(F.col("r_name").alias("respondent"))
     # Lazy: the comparison runs one table of the result, so there is nothing to share.
     return quality.validate(
-        tables.observations_with_regions(spark, sf_dir), MIN_COVERAGE, aggregates=regions, materialise=False
+        region_observations(spark, sf_dir), MIN_COVERAGE, aggregates=regions, materialise=False
     )
 
 
@@ -623,7 +650,6 @@ ORDER_YEARS = "holiday_range AS (SELECT MIN(YEAR(o_orderdate)) AS a, MAX(YEAR(o_
     ),
 )
 def _(spark, sf_dir):
-    # An observed day can fall a year early, so the first and last year come from their neighbours too.
     return features.holiday_calendar(tables.table(spark, sf_dir, "orders"), "o_orderdate")
 
 
@@ -724,7 +750,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return splits.assign_folds(feature_table(spark, sf_dir)).select("respondent", "target_date", "fold", "role")
+    return splits.assign_folds(stored_features(spark, sf_dir)).select("respondent", "target_date", "fold", "role")
 
 
 @query(
@@ -741,12 +767,12 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return splits.split_profile(splits.split_nearest_quantile(wide(spark, sf_dir)), "period")
+    return splits.split_profile(splits.split_nearest_quantile(stored_wide(spark, sf_dir)), "period")
 
 
 @query("monitoring_windows", q.with_(q.WINDOWS, 'SELECT respondent, target_date, win AS "window" FROM windowed'))
 def _(spark, sf_dir):
-    return splits.monitoring_windows(feature_table(spark, sf_dir)).select("respondent", "target_date", "window")
+    return splits.monitoring_windows(stored_features(spark, sf_dir)).select("respondent", "target_date", "window")
 
 
 @query(
@@ -892,7 +918,8 @@ DRIFT_NUMERIC = ["demand_t", "demand_lag_1", "demand_lag_6", "naive_persistence"
 
 
 def _windows(spark, sf_dir):
-    return splits.monitoring_windows(predicted(spark, sf_dir))
+    """Rows of both windows as a written table: drift reads them several times."""
+    return cut_lineage(splits.monitoring_windows(with_prediction(stored_features(spark, sf_dir))))
 
 
 LONG = "long_values AS (" + " UNION ALL ".join(
@@ -1032,7 +1059,7 @@ def _profile_sql(column: str) -> str:
 
 @query("quality_profile", q.with_(q.DAILY, " UNION ALL ".join(_profile_sql(c) for c in PROFILE)))
 def _(spark, sf_dir):
-    out = drift.quality_profile(panel.reindex_daily(wide(spark, sf_dir)), PROFILE)
+    out = drift.quality_profile(panel.reindex_daily(stored_wide(spark, sf_dir)), PROFILE)
     return rounded(rounded(rounded(out, 4, "mean"), 2, "std"), 8, "top_share")
 
 
@@ -1122,7 +1149,7 @@ found AS (SELECT r.respondent, r.requested_date, r.target_date, f.* EXCLUDE (res
 
 @query("row_lookup", q.with_(LOOKUP, "SELECT respondent, requested_date, target_date, found, target, demand_t FROM found"))
 def _(spark, sf_dir):
-    out = lookup.lookup_rows(feature_table(spark, sf_dir), _requests(spark, sf_dir))
+    out = lookup.lookup_rows(stored_features(spark, sf_dir), _requests(spark, sf_dir))
     return out.select("respondent", "requested_date", "target_date", "found", "target", "demand_t")
 
 
@@ -1142,7 +1169,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    rows = lookup.lookup_rows(predicted(spark, sf_dir), _requests(spark, sf_dir)).filter("found")
+    rows = lookup.lookup_rows(with_prediction(stored_features(spark, sf_dir)), _requests(spark, sf_dir)).filter("found")
     return lookup.scored_response(rows, "prediction")
 
 
@@ -1156,7 +1183,7 @@ def _describe_sql(c: str) -> str:
 
 @query("describe_series", q.with_(q.PANEL, " UNION ALL ".join(_describe_sql(c) for c in PROFILE)))
 def _(spark, sf_dir):
-    return rounded(rounded(explore.describe(wide(spark, sf_dir)), 4, "mean"), 2, "std")
+    return rounded(rounded(explore.describe(stored_wide(spark, sf_dir)), 4, "mean"), 2, "std")
 
 
 @query(
@@ -1192,7 +1219,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return rounded(explore.histogram(wide(spark, sf_dir)), 4, "left_edge")
+    return rounded(explore.histogram(stored_wide(spark, sf_dir)), 4, "left_edge")
 
 
 RANKING = q.PANEL + ", ranking AS (SELECT respondent, AVG(demand) AS mean_demand FROM panel GROUP BY 1)"
@@ -1292,7 +1319,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return explore.panel_coverage(wide(spark, sf_dir))
+    return explore.panel_coverage(stored_wide(spark, sf_dir))
 
 
 @query(
@@ -1318,8 +1345,6 @@ DAY_TYPE = "SELECT CAST(ts AS DATE) AS day, event_type AS respondent"
 
 @query("daily_rollup", DAY_TYPE + ", COUNT(*) AS n, ROUND(SUM(CAST(value AS DECIMAL(18,2))), 2) AS total FROM events GROUP BY 1, 2")
 def _(spark, sf_dir):
-    from panelforge.streaming.rollups import daily_rollup
-
     events = tables.table(spark, sf_dir, "events").select(
         F.col("ts").cast("timestamp").alias("event_ts"), F.col("event_type").alias("respondent"), "value"
     )
@@ -1332,8 +1357,6 @@ def _(spark, sf_dir):
     "COUNT(*) FILTER (WHERE value < 0) AS negatives, COUNT(*) FILTER (WHERE value = 0 AND event_type = 'view') AS zeros FROM events GROUP BY 1",
 )
 def _(spark, sf_dir):
-    from panelforge.streaming.rollups import daily_quality
-
     events = tables.table(spark, sf_dir, "events").select(
         F.col("ts").cast("timestamp").alias("event_ts"), F.col("event_type").alias("type"), "value"
     )
@@ -1342,11 +1365,12 @@ def _(spark, sf_dir):
 
 # ------------------------------------------------------------------ fitted models (no SQL counterpart)
 
-SMALL_FIT = {"maxIter": 8, "maxDepth": 4}
+SMALL_FIT = {"maxIter": 5, "maxDepth": 3}
 
 
 def _fitted(spark, sf_dir):
-    df = models.materialised(splits.split_time_series(feature_table(spark, sf_dir)))
+    """Split features as a written table, and the three fitted tiers."""
+    df = cut_lineage(splits.split_time_series(stored_features(spark, sf_dir)))
     fitted = models.train_all_tiers(df.filter("split = 'train'"), df.filter("split = 'val'"), params=SMALL_FIT)
     return df, fitted
 
@@ -1360,15 +1384,15 @@ def _(spark, sf_dir):
 
 @query("walk_forward_search")
 def _(spark, sf_dir):
-    df = models.materialised(feature_table(spark, sf_dir).filter("tier = 'Large'"))
-    candidates = models.random_candidates(2, seed=42, maxIter=4)
+    df = cut_lineage(splits.train_and_validation(splits.split_time_series(stored_features(spark, sf_dir))))
+    candidates = models.random_candidates(2, seed=42, maxIter=3, maxDepth=3)
     return models.walk_forward_search(df, "Large", candidates, n_splits=2)
 
 
 @query("next_day_forecast")
 def _(spark, sf_dir):
-    df, fitted = _fitted(spark, sf_dir)
-    latest = models.latest_rows(feature_table(spark, sf_dir, drop_na_target=False))
+    _, fitted = _fitted(spark, sf_dir)
+    latest = models.latest_rows(build(spark, sf_dir, wide(spark, sf_dir), drop_na_target=False))
     return models.predict_with_tier_models(latest, fitted).select(
         "respondent", "tier", "forecast_date", "target_date", "model_prediction"
     )

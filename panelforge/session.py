@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,7 +12,8 @@ def build_session(app: str = "panelforge", master: str | None = None, **conf: st
     """A session with adaptive execution on and a fixed UTC time zone.
 
     Partition counts are left to adaptive execution: it starts from
-    ``spark.sql.shuffle.partitions`` and coalesces or splits at run time.
+    ``spark.sql.shuffle.partitions`` and coalesces or splits at run time.  The
+    smallest partition is set low, since window frames cost much time per byte.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -21,6 +23,7 @@ def build_session(app: str = "panelforge", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
         **conf,
     }
     for key, value in settings.items():
@@ -32,17 +35,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster; a new local one only where none is named."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(configured)
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder")
     local = tempfile.mkdtemp(prefix="panelforge-checkpoint-")
     spark.sparkContext.setCheckpointDir(local)
-    return local
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder once, so that several consumers read it from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as a table in the checkpoint folder and read it back.
+
+    For a result with several consumers.  A Parquet table rather than a
+    checkpointed RDD: later plans read only the columns they need and know its
+    size when they choose a join.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/panelforge-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

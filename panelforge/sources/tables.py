@@ -91,21 +91,15 @@ def panel_to_long(panel: DataFrame) -> DataFrame:
     )
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel_to_long(supplier_panel(spark, sf_dir))
-
-
-def observations_with_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nation observations plus region rows that sum them (the roll-up entities)."""
-    panel = supplier_panel(spark, sf_dir)
-    regions = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+def with_regions(panel: DataFrame, regions: DataFrame) -> DataFrame:
+    """Nation rows of the panel plus region rows that sum them (the roll-up entities)."""
     by_region = (
         panel.groupBy("period", "regionkey")
         .agg(*[F.sum(name).alias(name) for name in SERIES.values()])
         .join(regions, F.col("regionkey") == F.col("r_regionkey"))
         .select("period", F.col("r_name").alias("respondent"), *SERIES.values())
     )
-    return panel_to_long(panel.select("period", "respondent", *SERIES.values()).unionByName(by_region))
+    return panel.select("period", "respondent", *SERIES.values()).unionByName(by_region)
 
 
 def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
