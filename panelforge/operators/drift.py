@@ -35,8 +35,8 @@ def evaluation_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def _ks_p_value(statistic: Column, n: Column, m: Column) -> Column:
     """Asymptotic two-sided p-value: the alternating exponential series."""
-    effective = F.sqrt(n * m / (n + m))
-    x = (effective + 0.12 + 0.11 / effective) * statistic
+    effective = F.sqrt(F.try_divide(n * m, n + m))
+    x = (effective + 0.12 + F.try_divide(F.lit(0.11), effective)) * statistic
     terms = F.transform(
         F.sequence(F.lit(1), F.lit(100)),
         lambda j: F.when(j % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * j * j * x * x),
@@ -61,7 +61,7 @@ def numeric_drift(
     """
     weights = {"r": _in_window("reference").cast("long"), "c": _in_window("current").cast("long")}
     counts = ordered_counts(df, columns, weights, buckets)
-    gap = F.abs(F.col("cum_r") / F.col("total_r") - F.col("cum_c") / F.col("total_c"))
+    gap = F.abs(F.try_divide("cum_r", "total_r") - F.try_divide("cum_c", "total_c"))
     width = F.col("next_value") - F.col("value")
     stats = counts.groupBy("feature").agg(
         F.max("total_r").alias("n_reference"),
@@ -124,7 +124,7 @@ def categorical_drift(df: DataFrame, columns: list[str], distance_threshold: flo
     )
     totals = counts.groupBy("feature").agg(F.sum("r").alias("n_r"), F.sum("c").alias("n_c"))
     n_r, n_c = F.col("n_r").cast("double"), F.col("n_c").cast("double")
-    p, q = F.col("r") / n_r, F.col("c") / n_c
+    p, q = F.try_divide(F.col("r"), n_r), F.try_divide(F.col("c"), n_c)
     mid = (p + q) / 2
 
     def divergence(share: Column) -> Column:
@@ -133,7 +133,9 @@ def categorical_drift(df: DataFrame, columns: list[str], distance_threshold: flo
     both = F.col("r") + F.col("c")
     expected_r = both * n_r / (n_r + n_c)
     expected_c = both * n_c / (n_r + n_c)
-    chi = (F.col("r") - expected_r) ** 2 / expected_r + (F.col("c") - expected_c) ** 2 / expected_c
+    chi = F.try_divide((F.col("r") - expected_r) ** 2, expected_r) + F.try_divide(
+        (F.col("c") - expected_c) ** 2, expected_c
+    )
     # One row per compared column: bounded by the column list.
     return (
         counts.join(F.broadcast(totals), "feature")
@@ -177,7 +179,7 @@ def column_drift(
 
 def dataset_drift(columns: DataFrame, drift_share: float = 0.30) -> DataFrame:
     """One row: compared and drifted columns, their share, and whether it reaches the threshold."""
-    share = F.count_if(F.col("drifted")) / F.count(F.lit(1))
+    share = F.try_divide(F.count_if(F.col("drifted")), F.count(F.lit(1)))
     return columns.agg(
         F.count(F.lit(1)).alias("total_features"),
         F.count_if(F.col("drifted")).alias("drifted_features"),
@@ -270,7 +272,7 @@ def drift_summary(
         window_wmape("reference").alias("wmape_reference"),
         window_wmape("current").alias("wmape_current"),
     )
-    share = F.col("d.drifted") / F.col("d.total")
+    share = F.try_divide("d.drifted", "d.total")
     return bounds.withColumn("d", drift).select(
         "reference_start_date",
         "reference_end_date",

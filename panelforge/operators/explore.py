@@ -46,7 +46,7 @@ def missing_by_column(df: DataFrame, columns: list[str]) -> DataFrame:
     )
     rows = unpivot_row(wide, columns, {"n_missing": "m", "_n": "n"})
     return rows.select(
-        F.col("feature").alias("column"), "n_missing", F.round(F.col("n_missing") / F.col("_n") * 100, 3).alias("pct")
+        F.col("feature").alias("column"), "n_missing", F.round(F.try_divide("n_missing", "_n") * 100, 3).alias("pct")
     )
 
 
@@ -100,7 +100,7 @@ def both_ends(df: DataFrame, measure: str, n: int = 5) -> DataFrame:
 
 def size_ratio(ranking: DataFrame) -> DataFrame:
     """One row: largest over smallest mean demand."""
-    return ranking.agg((F.max("mean_demand") / F.min("mean_demand")).alias("ratio"))
+    return ranking.agg(F.try_divide(F.max("mean_demand"), F.min("mean_demand")).alias("ratio"))
 
 
 def focus_series(df: DataFrame, respondents: list[str]) -> DataFrame:
@@ -115,7 +115,7 @@ def seasonality(df: DataFrame, part: str) -> DataFrame:
     key = {"month": F.month, "dayofweek": F.weekday}[part]("period")
     means = df.groupBy("respondent", key.alias(part)).agg(F.avg("demand").alias("mean_demand"))
     level = F.avg("mean_demand").over(Window.partitionBy("respondent"))
-    return means.withColumn("relative", F.col("mean_demand") / level)
+    return means.withColumn("relative", F.try_divide(F.col("mean_demand"), level))
 
 
 def benchmark_errors(df: DataFrame) -> DataFrame:

@@ -38,8 +38,8 @@ def split_dates(df: DataFrame, train_frac: float = 0.70, val_frac: float = 0.15,
     n = F.col("n").cast("double")
     enough = F.col("n") >= 10
     message = F.format_string("not enough dates for a three-way split: %d", F.col("n"))
-    train_end = F.element_at("dates", F.greatest(_whole(n * F.lit(train_frac)), F.lit(1)))
-    val_end = F.element_at("dates", F.greatest(_whole(n * F.lit(train_frac + val_frac)), F.lit(1)))
+    train_end = F.try_element_at("dates", F.greatest(_whole(n * F.lit(train_frac)), F.lit(1)))
+    val_end = F.try_element_at("dates", F.greatest(_whole(n * F.lit(train_frac + val_frac)), F.lit(1)))
     return _dates(df, column).select(
         _require(enough, message, train_end).alias("train_end"),
         _require(enough, message, val_end).alias("val_end"),
@@ -99,7 +99,7 @@ def split_nearest_quantile(
 
     def nearest(q: float) -> Column:
         place = F.bround((F.col("n").cast("double") - 1) * F.lit(q), 0).cast("int")
-        return F.element_at("dates", place + 1)
+        return F.try_element_at("dates", place + 1)
 
     cuts = _dates(df, column).select(
         F.struct(nearest(train_q).alias("train_end"), nearest(val_q).alias("val_end"))
@@ -139,9 +139,9 @@ def walk_forward_folds(
         dates.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("fold"))
         .select(
             "fold",
-            F.element_at("dates", train_n).alias("train_end"),
-            F.element_at("dates", train_n + 1).alias("val_start"),
-            F.element_at("dates", val_n).alias("val_end"),
+            F.try_element_at("dates", train_n).alias("train_end"),
+            F.try_element_at("dates", train_n + 1).alias("val_start"),
+            F.try_element_at("dates", val_n).alias("val_end"),
         )
     )
 
@@ -186,7 +186,7 @@ def monitoring_windows(
     fail the query.
     """
     dates = F.col("dates")
-    last = F.element_at("dates", -1)
+    last = F.try_element_at("dates", -1)
     split = F.date_sub(last, current_days)
     start = F.date_sub(split, reference_days)
     needed = (reference_days + current_days) // 3

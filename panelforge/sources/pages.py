@@ -77,7 +77,7 @@ def page_audit(pages: DataFrame) -> DataFrame:
     ``complete`` false is a warning: the source may publish while it is read.
     """
     per_page = pages.select(
-        F.element_at("response.data", 1)["respondent"].alias("respondent"),
+        F.get("response.data", F.lit(0))["respondent"].alias("respondent"),
         F.size("response.data").alias("n"),
         F.try_to_number(F.col("response.total"), F.lit("999999999999")).cast("long").alias("total"),
     ).filter("respondent is not null")
