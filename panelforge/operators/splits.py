@@ -186,7 +186,7 @@ def monitoring_windows(
     fail the query.
     """
     dates = F.col("dates")
-    last = F.try_element_at("dates", -1)
+    last = F.try_element_at("dates", F.lit(-1))
     split = F.date_sub(last, current_days)
     start = F.date_sub(split, reference_days)
     needed = (reference_days + current_days) // 3
