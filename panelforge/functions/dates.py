@@ -87,22 +87,22 @@ FLAG_KEYS: dict[str, set[DayKey]] = {
 }
 
 
-def _in_keys(day: Column, keys: set[DayKey]) -> Column:
-    number = F.weekday(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day)
-    return number.isin(sorted(w * 10000 + m * 100 + d for w, m, d in keys))
+def _in_keys(day: str, keys: set[DayKey]) -> Column:
+    numbers = ", ".join(str(w * 10000 + m * 100 + d) for w, m, d in sorted(keys))
+    return F.expr(f"weekday({day}) * 10000 + month({day}) * 100 + dayofmonth({day}) in ({numbers})")
 
 
-def is_federal_holiday(day: Column) -> Column:
+def is_federal_holiday(day: str) -> Column:
     """True on the observed date of one of the eleven federal holidays."""
     return _in_keys(day, _HOLIDAYS)
 
 
-def federal_holiday_name(day: Column) -> Column:
+def federal_holiday_name(day: str) -> Column:
     """Name of the holiday observed on ``day``, NULL on other days."""
     return F.coalesce(*[F.when(_in_keys(day, keys), F.lit(name)) for name, keys in HOLIDAY_KEYS.items()])
 
 
-def holiday_flags(day: Column) -> dict[str, Column]:
+def holiday_flags(day: str) -> dict[str, Column]:
     """The four 0/1 holiday indicators of a day."""
     return {name: _in_keys(day, keys).cast("int") for name, keys in FLAG_KEYS.items()}
 

@@ -75,7 +75,8 @@ def next_day_columns() -> dict[str, Column]:
 
 
 def demand_lag_columns(lags: list[int] = DEMAND_LAGS) -> dict[str, Column]:
-    lagged = {f"demand_lag_{k}": F.lag("demand", k).over(_by_day()) for k in lags}
+    by_day = _by_day()
+    lagged = {f"demand_lag_{k}": F.lag("demand", k).over(by_day) for k in lags}
     return {"demand_t": F.col("demand"), **lagged}
 
 
@@ -84,8 +85,8 @@ def _over_last(days: int) -> WindowSpec:
 
 
 def _with_enough(days: int, least: int, aggregate: Column) -> Column:
-    seen = F.count("demand").over(_over_last(days))
-    return F.when(seen >= least, aggregate.over(_over_last(days)))
+    frame = _over_last(days)
+    return F.when(F.count("demand").over(frame) >= least, aggregate.over(frame))
 
 
 def rolling_columns() -> dict[str, Column]:
@@ -109,10 +110,11 @@ def trend_columns(windows: list[int] = TREND_WINDOWS) -> dict[str, Column]:
 
 
 def exogenous_columns(lags: list[int] = EXOGENOUS_LAGS) -> dict[str, Column]:
+    by_day = _by_day()
     columns = {}
     for name in ("net_generation", "interchange"):
         columns[f"{name}_t"] = F.col(name)
-        columns |= {f"{name}_lag_{k}": F.lag(name, k).over(_by_day()) for k in lags}
+        columns |= {f"{name}_lag_{k}": F.lag(name, k).over(by_day) for k in lags}
     return columns
 
 
@@ -124,7 +126,6 @@ def holiday_calendar(df: DataFrame, column: str) -> DataFrame:
 
     An observed date can fall in the neighbouring year.
     """
-    day = F.col("day")
     years = df.agg(F.min(F.year(column)).alias("a"), F.max(F.year(column)).alias("b")).filter("a is not null")
     return (
         years.select(
@@ -132,13 +133,13 @@ def holiday_calendar(df: DataFrame, column: str) -> DataFrame:
                                  F.make_date("b", F.lit(12), F.lit(31)) + F.expr("interval 1 year"))).alias("day")
         )
         .select(F.to_date("day").alias("day"))
-        .filter(is_federal_holiday(day))
-        .select("day", federal_holiday_name(day).alias("holiday"))
+        .filter(is_federal_holiday("day"))
+        .select("day", federal_holiday_name("day").alias("holiday"))
     )
 
 
 def with_holiday_flags(df: DataFrame, column: str = "target_date") -> DataFrame:
-    return df.withColumns(holiday_flags(F.col(column)))
+    return df.withColumns(holiday_flags(column))
 
 
 def with_calendar(df: DataFrame, column: str = "target_date") -> DataFrame:

@@ -89,7 +89,7 @@ def split_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = split_predicted(spark, sf_dir)
+    df = cut_lineage(split_predicted(spark, sf_dir))
     fallback = scoring.fallback_entities(df.filter("split = 'val'"), "prediction")
     return scoring.apply_fallback(df, fallback, "prediction")
 
@@ -492,10 +492,7 @@ t AS (
 
 def _validated(spark, sf_dir):
     regions = tables.table(spark, sf_dir, "region").select(F.col("r_name").alias("respondent"))
-    # Lazy: the comparison runs one table of the result, so there is nothing to share.
-    return quality.validate(
-        region_observations(spark, sf_dir), MIN_COVERAGE, aggregates=regions, materialise=False
-    )
+    return quality.validate(region_observations(spark, sf_dir), MIN_COVERAGE, aggregates=regions)
 
 
 @query(
@@ -662,7 +659,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return _order_days(spark, sf_dir).withColumns(holiday_flags(F.col("target_date")))
+    return _order_days(spark, sf_dir).withColumns(holiday_flags("target_date"))
 
 
 @query(
@@ -1109,11 +1106,14 @@ def _(spark, sf_dir):
 
 @query(
     "entities_by_tier",
-    f"""WITH t AS (SELECT n_name AS respondent, {q.TIER_CASE} AS tier FROM nation)
+    f"""WITH t AS (SELECT s_name AS respondent, {q.TIER_CASE} AS tier FROM supplier JOIN nation ON s_nationkey = n_nationkey)
         SELECT tier, respondent, COUNT(*) OVER (PARTITION BY tier) AS tier_regions, COUNT(*) OVER () AS total_regions FROM t""",
 )
 def _(spark, sf_dir):
-    return lookup.entities_by_tier(tables.nation_tiers(spark, sf_dir))
+    nations = tables.table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("nation"))
+    suppliers = tables.table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    tiers = tables.nation_tiers(spark, sf_dir).withColumnRenamed("respondent", "nation")
+    return lookup.entities_by_tier(suppliers.join(tiers, "nation").select(F.col("s_name").alias("respondent"), "tier"))
 
 
 def _requests(spark, sf_dir):
@@ -1346,7 +1346,7 @@ DAY_TYPE = "SELECT CAST(ts AS DATE) AS day, event_type AS respondent"
 @query("daily_rollup", DAY_TYPE + ", COUNT(*) AS n, ROUND(SUM(CAST(value AS DECIMAL(18,2))), 2) AS total FROM events GROUP BY 1, 2")
 def _(spark, sf_dir):
     events = tables.table(spark, sf_dir, "events").select(
-        F.col("ts").cast("timestamp").alias("event_ts"), F.col("event_type").alias("respondent"), "value"
+        F.col("ts").alias("event_ts"), F.col("event_type").alias("respondent"), "value"
     )
     return daily_rollup(events).select("day", "respondent", "n", F.col("total").cast("decimal(38,2)").alias("total"))
 
@@ -1358,7 +1358,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     events = tables.table(spark, sf_dir, "events").select(
-        F.col("ts").cast("timestamp").alias("event_ts"), F.col("event_type").alias("type"), "value"
+        F.col("ts").alias("event_ts"), F.col("event_type").alias("type"), "value"
     )
     return daily_quality(events, target="view", negative_allowed=[])
 

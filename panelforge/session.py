@@ -20,6 +20,8 @@ def build_session(app: str = "panelforge", master: str | None = None, **conf: st
         builder = builder.master(master)
     settings = {
         "spark.sql.session.timeZone": "UTC",
+        # Call-site capture costs more than the planning of wide plans.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",

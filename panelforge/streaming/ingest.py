@@ -54,7 +54,12 @@ def upsert_stream(
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        upsert(batch, store, grain)
+        # The upsert reads its input twice: for the touched partitions and for the merge.
+        batch.persist()
+        try:
+            upsert(batch, store, grain)
+        finally:
+            batch.unpersist()
 
     writer = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -53,7 +53,7 @@ def test_flags_agree_with_day_by_day_rules(spark):
     known = set().union(*[_slow_holidays(y) for y in range(1979, 2042)])
     start, end = dt.date(1980, 1, 1), dt.date(2040, 12, 31)
     days = spark.range((end - start).days + 1).select(F.date_add(F.lit(start), F.col("id").cast("int")).alias("d"))
-    rows = days.select("d", *[c.alias(n) for n, c in holiday_flags(F.col("d")).items()]).collect()
+    rows = days.select("d", *[c.alias(n) for n, c in holiday_flags("d").items()]).collect()
     for r in rows:
         d = r["d"]
         near = {k: d + dt.timedelta(k) in known for k in (-3, -1, 0, 1, 3)}
