@@ -64,7 +64,8 @@ def ordered_counts(
     counts = (
         bucketed.select(*weights, F.explode(entries).alias("e"))
         .select("e.*", *weights)
-        .filter("value is not null")
+        # Both tests, so that both consumers below plan the same shuffle and Spark runs it once.
+        .filter("value is not null and bucket is not null")
         .groupBy("feature", "bucket", "value")
         .agg(*[F.sum(name).alias(name) for name in weights])
     )

@@ -5,6 +5,7 @@ import pytest
 from conftest import day
 
 from panelforge.operators import distribution, drift, explore
+from panelforge.sources import sinks
 
 
 def windowed(spark, reference, current, schema="window string, x double"):
@@ -84,7 +85,7 @@ def monitor_rows(shock=1.0):
     return rows
 
 
-def test_summary_and_shocked_feature(spark):
+def test_summary_and_shocked_feature(spark, tmp_path):
     columns = drift.drift_columns(spark.createDataFrame(monitor_rows(), FRAME))
     assert columns == ["respondent", "demand_lag_1", "is_holiday", "target", "prediction"]
     calm = drift.drift_summary(spark.createDataFrame(monitor_rows(), FRAME), columns, prediction="prediction").first()
@@ -98,6 +99,8 @@ def test_summary_and_shocked_feature(spark):
     assert share["drifted_features"] >= 1 and share["dataset_drift"]
     target = drift.target_drift(drift.column_drift(shocked, columns)).first()
     assert target["feature"] == "target" and not target["drifted"]
+    sinks.save_summary(drift.drift_summary(shocked, columns), str(tmp_path / "summary"))
+    assert spark.read.json(str(tmp_path / "summary")).first()["total_features_evaluated"] == 5
     without = drift.drift_summary(shocked.drop("prediction"), ["respondent", "demand_lag_1"]).first()
     assert without["wmape_current"] is None and without["target_drift_score"] == 0.0
 
