@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import random
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,6 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from panelforge.functions import errors
 from panelforge.operators.scoring import fallback_entities, naive_column
@@ -149,6 +151,12 @@ def predict_with_tier_models(
     return reduce(DataFrame.unionByName, [*parts, rest])
 
 
+def _side_by_side(spark: SparkSession, fits: list[Callable], parallelism: int) -> list:
+    """Run independent fits from a few driver threads, so that their Spark jobs overlap."""
+    with ThreadPoolExecutor(max(1, min(parallelism, len(fits)))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(fit)) for fit in fits]]
+
+
 def train_all_tiers(
     train: DataFrame,
     val: DataFrame,
@@ -156,9 +164,17 @@ def train_all_tiers(
     params: dict | None = None,
     params_by_tier: dict[str, dict] | None = None,
     features: list[str] = NUMERIC_FEATURES,
+    parallelism: int = 3,
 ) -> dict[str, TierModel]:
+    """One model per tier; give written tables, since each fit reads them several times."""
     tuned = params_by_tier or {}
-    return {t: fit_tier(train, val, t, {**(params or {}), **tuned.get(t, {})}, features) for t in tiers}
+    names = list(tiers)
+
+    def fit(tier: str) -> Callable[[], TierModel]:
+        return lambda: fit_tier(train, val, tier, {**(params or {}), **tuned.get(tier, {})}, features)
+
+    fitted = _side_by_side(train.sparkSession, [fit(t) for t in names], parallelism)
+    return dict(zip(names, fitted, strict=True))
 
 
 def latest_rows(features: DataFrame) -> DataFrame:
@@ -217,6 +233,7 @@ def walk_forward_search(
     candidates: list[dict],
     n_splits: int = 3,
     features: list[str] = NUMERIC_FEATURES,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Mean validation WMAPE over expanding folds per candidate: (tier, trial, params, folds, wmape).
 
@@ -227,18 +244,23 @@ def walk_forward_search(
         raise ValueError(f"no rows for tier {tier}")
     folds = walk_forward_folds(rows, n_splits).orderBy("fold").collect()
     day = F.to_date("target_date")
-    results = []
-    for trial, params in enumerate(candidates):
-        scores = []
-        for fold in folds:
+
+    def score(params: dict, fold) -> Callable[[], float | None]:
+        def run() -> float | None:
             train = rows.filter(day <= F.lit(fold["train_end"]))
             val = rows.filter(day.between(F.lit(fold["val_start"]), F.lit(fold["val_end"])))
             model = fit_tier(train, val, tier, params, features)
-            score = predict(val, model).agg(errors.wmape("target", "model_prediction").alias("w")).first()["w"]
-            if score is not None:
-                scores.append(score)
-        mean = sum(scores) / len(scores) if scores else None
-        results.append((tier, trial, json.dumps(params, sort_keys=True), len(scores), mean))
+            return predict(val, model).agg(errors.wmape("target", "model_prediction").alias("w")).first()["w"]
+
+        return run
+
+    fits = [score(params, fold) for params in candidates for fold in folds]
+    scores = _side_by_side(df.sparkSession, fits, parallelism)
+    results = []
+    for trial, params in enumerate(candidates):
+        valid = [w for w in scores[trial * len(folds) : (trial + 1) * len(folds)] if w is not None]
+        mean = sum(valid) / len(valid) if valid else None
+        results.append((tier, trial, json.dumps(params, sort_keys=True), len(valid), mean))
     return df.sparkSession.createDataFrame(
         results, "tier string, trial int, params string, folds int, wmape double"
     )

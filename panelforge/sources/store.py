@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from operator import or_
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +30,7 @@ def store_exists(spark: SparkSession, path: str) -> bool:
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """Every partition of the store, with its partition columns."""
+    # A month column, where the store has one, is found by partition discovery.
     schema = T.StructType(RAW_SCHEMA.fields + [T.StructField("year", T.IntegerType())])
     try:
         df = spark.read.schema(schema).option("basePath", path).parquet(path)
@@ -71,6 +74,16 @@ def scan_store(
     return df
 
 
+def _in_partitions(touched: list[Row]) -> Column:
+    """A predicate on the partition columns alone, so that other partitions are not listed or read."""
+    months: dict[int, list[int]] = {}
+    for row in touched:
+        months.setdefault(row["year"], []).extend([row["month"]] if "month" in row else [])
+    if not any(months.values()):
+        return F.col("year").isin(list(months))
+    return reduce(or_, [(F.col("year") == y) & F.col("month").isin(ms) for y, ms in months.items()])
+
+
 def upsert(df: DataFrame, path: str, grain: str = "year") -> int:
     """Merge ``df`` into the store; the newest copy of a key wins.
 
@@ -88,17 +101,13 @@ def upsert(df: DataFrame, path: str, grain: str = "year") -> int:
     columns = GRAINS[grain]
     incoming = df.select(*RAW_COLUMNS).filter("period is not null")
     incoming = incoming.withColumns({name: _partition_value(name) for name in columns})
-    touched = [row["year"] for row in incoming.select("year").distinct().collect()]
+    touched = incoming.select(*columns).distinct().collect()
     if not touched:
         return 0
 
     merged = incoming.withColumn("_incoming", F.lit(1))
     if store_exists(spark, path):
-        stored = read_store(spark, path).filter(F.col("year").isin(touched))
-        if grain == "month":
-            stored = stored.withColumn("month", _partition_value("month"))
-            months = incoming.select(*columns).distinct()
-            stored = stored.join(months, columns, "left_semi")
+        stored = read_store(spark, path).filter(_in_partitions(touched))
         stored = stored.select(*RAW_COLUMNS, *columns).withColumn("_incoming", F.lit(0))
         merged = stored.unionByName(merged)
 

@@ -4,6 +4,7 @@ import os
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from panelforge.operators import ingest, panel
@@ -125,6 +126,8 @@ def test_month_grain(spark, tmp_path):
     path = str(tmp_path / "store")
     store.upsert(raw(spark, ("2023-05-01", "AA", "D", 1.0, 0), ("2023-06-01", "AA", "D", 2.0, 0)), path, grain="month")
     before = os.listdir(f"{path}/year=2023/month=5")
+    pruned = store.read_store(spark, path).filter(store._in_partitions([Row(year=2023, month=6)]))
+    assert len(pruned.select("_metadata.file_path").distinct().collect()) == 1
     store.upsert(raw(spark, ("2023-06-01", "AA", "D", 7.0, 1), ("2023-06-02", "AA", "D", 3.0, 1)), path, grain="month")
     assert os.listdir(f"{path}/year=2023/month=5") == before
     assert keyed(store.read_store(spark, path)) == {
