@@ -106,13 +106,19 @@ def fit_tier(
         .unionByName(va.select(*columns).withColumn("_validation", F.lit(True)))
         .withColumn("_label", F.col("target") / scale)
     )
-    regressor = GBTRegressor(
+    estimator = GBTRegressor(
         featuresCol="_features",
         labelCol="_label",
         predictionCol="_prediction",
         validationIndicatorCol="_validation",
         **{**DEFAULT_PARAMS, **(params or {})},
-    ).fit(_assembled(both, levels, features).select("_features", "_label", "_validation"))
+    )
+    # Boosting keeps its training rows but reads the validation rows again in every iteration.
+    instances = _assembled(both, levels, features).select("_features", "_label", "_validation").persist()
+    try:
+        regressor = estimator.fit(instances)
+    finally:
+        instances.unpersist()
 
     scored = _raw_prediction(va, regressor, scale, features, levels, "_raw")
     lost = fallback_entities(scored, "_raw").select("respondent", F.lit(True).alias("fallback"))

@@ -63,22 +63,36 @@ def _is_zero_demand(df: DataFrame) -> Column:
 
 
 def key_counts(df: DataFrame, negative_allowed: list[str] = NEGATIVE_ALLOWED) -> DataFrame:
-    """Rows, missing, invalid negative and zero-demand rows per key."""
+    """Rows, missing, invalid negative and zero-demand rows per key.
+
+    Only numbers and dates are aggregated, here and in the summary, so that Spark
+    hashes; a text aggregate would make it sort all rows.
+    """
     return df.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(_is_missing(df)).alias("n_missing"),
         F.count_if(_is_invalid_negative(df, negative_allowed)).alias("n_negative"),
         F.count_if(_is_zero_demand(df)).alias("n_zero"),
-        F.min("respondent_name").alias("name"),
     )
 
 
+def entity_names(df: DataFrame) -> DataFrame:
+    """One name per entity of the target series, from the distinct pairs.
+
+    Pairs are counted and the count is used, since Spark drops a plain
+    ``distinct`` under a minimum and would then sort all rows.
+    """
+    target = df.filter((F.col("type") == TARGET_TYPE) & F.col("respondent").isNotNull())
+    pairs = target.groupBy("respondent", F.col("respondent_name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return pairs.filter("n > 0").groupBy("respondent").agg(F.min("name").alias("name"))
+
+
 def quality_summary(df: DataFrame, negative_allowed: list[str] = NEGATIVE_ALLOWED) -> DataFrame:
     """All counters per entity and per series type (column ``level`` says which)."""
     keys = key_counts(df, negative_allowed)
     is_target = F.col("type") == TARGET_TYPE
     target_day = F.when(is_target, F.col("period"))
-    duplicate = F.when(F.col("n") > 1, F.struct(*[F.col(c).cast("string").alias(c) for c in KEY]))
+    duplicate_day = F.when(F.col("n") > 1, F.col("period"))
     return (
         keys.groupingSets([["respondent"], ["type"]], "respondent", "type")
         .agg(
@@ -88,14 +102,13 @@ def quality_summary(df: DataFrame, negative_allowed: list[str] = NEGATIVE_ALLOWE
             F.sum("n_missing").alias("missing"),
             F.sum("n_negative").alias("negatives"),
             F.sum("n_zero").alias("zeros"),
-            F.max(duplicate).alias("duplicate_example"),
+            F.max(duplicate_day).alias("duplicate_day"),
             F.count_if(is_target).alias("target_keys"),
             F.count_if(F.col("type") == FORECAST_TYPE).alias("forecast_keys"),
             F.count(target_day).alias("days"),
             F.min(target_day).alias("first_day"),
             F.max(target_day).alias("last_day"),
             F.sum(F.when(is_target, F.col("n_missing"))).alias("target_missing"),
-            F.min(F.when(is_target, F.col("name"))).alias("name"),
             F.min("period").alias("min_period"),
             F.max("period").alias("max_period"),
         )
@@ -194,17 +207,14 @@ def build_coverage(df: DataFrame, aggregates: list[str] | DataFrame = AGGREGATE_
     span = df.agg((F.datediff(F.max("period"), F.min("period")) + 1).alias("days")).scalar()
     target = df.filter(F.col("type") == TARGET_TYPE).filter("respondent is not null")
     # Counted per day first: distinct days without shuffling every row to its entity.
-    days = target.groupBy("respondent", "period").agg(
-        F.count_if(_is_missing(target)).alias("n_missing"), F.min("respondent_name").alias("name")
-    )
+    days = target.groupBy("respondent", "period").agg(F.count_if(_is_missing(target)).alias("n_missing"))
     entities = days.groupBy("respondent").agg(
-        F.min("name").alias("name"),
         F.count("period").alias("days"),
         F.min("period").alias("first_day"),
         F.max("period").alias("last_day"),
         F.sum("n_missing").alias("n_missing"),
     )
-    return _with_coverage(entities, span, aggregates)
+    return _with_coverage(entities.join(entity_names(df), "respondent", "left"), span, aggregates)
 
 
 def _selection(exclude_aggregates: bool, min_coverage_pct: float) -> Column:
@@ -315,7 +325,7 @@ def validate(
         return _stopped(findings)
 
     df = df.withColumn("period", F.to_date("period"))
-    summary = hold(quality_summary(df, negative_allowed))
+    summary = hold(quality_summary(df, negative_allowed).join(entity_names(df), "respondent", "left"))
     per_entity = summary.filter("level = 'respondent'")
     per_type = summary.filter("level = 'type'")
     # Sums over types: a handful of rows, whatever the number of entities.
@@ -471,7 +481,7 @@ def _entity_details(
         rows(leading("zeros"), "zero_demand", "respondent", "by_respondent", "zeros"),
         rows(
             per_entity.filter("duplicates > 0").orderBy("respondent").limit(5),
-            "duplicates", "respondent", "sample", F.to_json("duplicate_example"),
+            "duplicates", "respondent", "last_day", "duplicate_day",
         ),
         rows(coverage.filter("selection = 'aggregate'"), "aggregates", "respondent", "excluded", "days"),
         rows(low, "coverage", "respondent", "coverage_pct", "coverage_pct"),

@@ -78,6 +78,8 @@ def test_duplicates_and_time_zones(spark):
     got = found(quality.validate(frame(spark, rows)))
     assert got[("duplicates", "ERROR")]["count"] == "3"
     assert got[("timezone", "ERROR")]["distinct"] == "2"
+    details = quality.validate(frame(spark, rows)).entity_details.filter("check = 'duplicates'").first()
+    assert (details["item"], details["value"]) == ("AA", "2024-01-03")
     assert quality.duplicate_keys(frame(spark, rows)).first().asDict() == {"duplicate_rows": 3, "duplicate_keys": 2}
 
 
@@ -144,3 +146,18 @@ def test_top_entities_are_ten(spark, part):
     counts = quality.negative_values(df) if part == "negatives" else quality.zero_demand(df)
     top = quality.top_entities(counts).collect()
     assert [r["respondent"] for r in top] == [f"E{i:02d}" for i in range(11, 1, -1)]
+
+
+def test_hot_entity_is_combined_before_the_shuffle(spark):
+    """A third of all rows in one entity: counts stay right, and every raw-row shuffle follows a partial aggregate."""
+    from panelforge.operators import panel
+
+    rows = [obs(n % 50, "HOT", t) for n in range(400) for t in ("D", "NG")]
+    rows += [obs(n % 50, f"E{n % 40}") for n in range(1600)]
+    df = frame(spark, rows)
+    result = quality.validate(df, min_coverage_pct=1)
+    assert found(result)[("duplicates", "ERROR")]["count"] == str(len(rows) - len({(r[0], r[1], r[3]) for r in rows}))
+    for out in (panel.to_wide(df), quality.key_counts(df), quality.build_coverage(df)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        before_first_shuffle = plan.rsplit("Exchange hashpartitioning", 1)[1]
+        assert "partial_" in before_first_shuffle and "SortAggregate" not in before_first_shuffle
