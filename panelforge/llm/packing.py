@@ -9,7 +9,9 @@ sequences' numbers, and a lost task is packed again alike.
 from __future__ import annotations
 
 import re
+import string
 import struct
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -95,7 +97,7 @@ class WordEncoder:
     PLAIN = re.compile("[!-~¡-ɏ]+")
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value: the vocabulary's own pattern
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 600_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -108,18 +110,19 @@ class WordEncoder:
 
     def _piece(self, piece: str) -> bytes:
         mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize(mapped)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _word(self, word: str) -> bytes:
         if not word:
             return b""
         if not self.PLAIN.fullmatch(word) or "<|" in word:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         low = word.lower()
         if low.isalpha():
             return self.pieces[low]
+        letters = low.rstrip(string.punctuation)
+        if letters.isalpha():
+            return self.pieces[letters] + self.pieces[low[len(letters) :]]
         return b"".join(map(self.pieces.__getitem__, self.split.findall(low)))
 
     def encode(self, text: str) -> bytes:

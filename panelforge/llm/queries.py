@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import exact_dedup, mixing, packing
+from panelforge.llm import exact_dedup, mixing, packing, quality, simhash
 from panelforge.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,17 @@ def _(spark, sf_dir):
     return out.select(
         "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
     )
+
+
+@query("op6_simhash_near_dedup")
+def _(spark, sf_dir):
+    out = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return out.select(
+        F.col("_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+@query("op7_quality_rules")
+def _(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.quality_report(docs, labels).select("doc_id", "held_out", "score", "predicted")
