@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import exact_dedup, mixing, packing, quality, simhash
+from panelforge.llm import embedding_dedup, exact_dedup, html_main, mixing, packing, quality, simhash
 from panelforge.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,14 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.quality_report(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op9_embedding_near_dedup")
+def _(spark, sf_dir):
+    return embedding_dedup.near_groups(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_html_main_text")
+def _(spark, sf_dir):
+    out = html_main.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
