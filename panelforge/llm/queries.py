@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import embedding_dedup, exact_dedup, html_main, mixing, packing, quality, simhash
+from panelforge.llm import (
+    chat,
+    embedding_dedup,
+    exact_dedup,
+    html_main,
+    mixing,
+    packing,
+    quality,
+    simhash,
+    substring_dedup,
+    url_filter,
+)
 from panelforge.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +113,23 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     out = html_main.extract(table(spark, sf_dir, "pages"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op3_url_language_models")
+def _(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+CONTROL_CHAT = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@query("op2_chat_windows")
+def _(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame(CONTROL_CHAT, "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_chats(turns.unionByName(control)))
+
+
+@query("op5_substring_dedup")
+def _(spark, sf_dir):
+    return substring_dedup.repeat_report(table(spark, sf_dir, "documents"))
