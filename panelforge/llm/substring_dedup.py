@@ -136,7 +136,7 @@ def _seed(length: int, k: int):
 
 
 def _extend(length: int):
-    """Rows of windows with a seed: the earliest of each digest in a part with its key, the others without one."""
+    """Rows of windows with a seed: the earliest of each digest in a part; the others as one list per document, ``lost``."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 4 << 20, 2048):
@@ -159,15 +159,23 @@ def _extend(length: int):
             head = np.maximum.accumulate(np.where(first, np.arange(len(one)), 0))
             # The same place of a repeated row is not an earlier place.
             first |= (ids == ids[head]) & (start == start[head])
+            later = np.flatnonzero(~first)
+            later = later[np.lexsort((start[later], where[later]))]
+            losers, begins = np.unique(where[later], return_index=True)
+            lost = [x.astype(np.int32) for x in np.split(start[later], begins[1:])] if len(losers) else []
+            one, two, where, start = one[first], two[first], where[first], start[first]
+            n, m = len(one), len(losers)
+            rows = pa.array(np.r_[where, losers].astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(one, mask=~first),
-                    pa.array(two, mask=~first),
-                    part.column("doc_id").take(pa.array(where)),
-                    part.column("variant").take(pa.array(where)),
-                    pa.array(start.astype(np.int32)),
+                    pa.array(np.r_[one, np.arange(m)]),
+                    pa.array(np.r_[two, np.zeros(m, np.int32)], pa.int32(), mask=np.r_[np.zeros(n, bool), np.ones(m, bool)]),
+                    part.column("doc_id").take(rows),
+                    part.column("variant").take(rows),
+                    pa.array(np.r_[start, np.zeros(m, np.int64)].astype(np.int32)),
+                    pa.array([*[None] * n, *lost], pa.list_(pa.int32())),
                 ],
-                ["k1", "k2", "doc_id", "variant", "start"],
+                ["k1", "k2", "doc_id", "variant", "start", "lost"],
             )
 
     return extend
@@ -229,22 +237,26 @@ def repeats(docs: DataFrame, length: int = 20, k: int = 6) -> tuple[DataFrame, D
     by_row = at_seeds.groupBy("row").agg(F.collect_list(F.struct("s0", "s1")).alias("runs"))
     named = by_row.join(seeded.select("row", "doc_id", "h"), "row").dropDuplicates(["doc_id", "h"])
     named = named.withColumn("variant", F.row_number().over(Window.partitionBy("doc_id").orderBy("h")).cast("int"))
-    same = rows.doc_id.eqNullSafe(F.col("d")) & (rows.h == F.col("g"))
-    asked = named.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "variant", "runs")
     # Rows that repeat id and text are one document here.
-    held = cut_lineage(rows.join(asked, same).select("doc_id", "h", "variant", "text", "runs"))
+    asked = named.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "variant", "runs")
+    asked = cut_lineage(asked)
+
+    def with_text(keyed: DataFrame) -> DataFrame:
+        # Both uses shuffle the texts by the same keys, so Spark does it once.
+        return rows.join(keyed, rows.doc_id.eqNullSafe(F.col("d")) & (rows.h == F.col("g")))
 
-    windows = held.select("doc_id", "variant", "text", "runs").mapInArrow(
-        _extend(length), "k1 long, k2 int, doc_id long, variant int, start int"
+    windows = with_text(asked).select("doc_id", "variant", "text", "runs").mapInArrow(
+        _extend(length), "k1 long, k2 int, doc_id long, variant int, start int, lost array<int>"
     )
-    windows = cut_lineage(windows)
     place = Window.partitionBy("k1", "k2").orderBy(F.col("doc_id").asc_nulls_first(), "start")
-    later = windows.filter("k1 is not null").withColumn("rank", F.rank().over(place)).filter("rank > 1")
-    marks = windows.filter("k1 is null").unionByName(later.drop("rank")).groupBy("doc_id", "variant").agg(
-        F.collect_list("start").alias("marks")
+    placed = windows.withColumn("rank", F.when(F.col("k2").isNotNull(), F.rank().over(place)))
+    later = placed.filter("rank > 1 or lost is not null").select(
+        "doc_id", "variant", F.when(F.col("lost").isNull(), F.array("start")).otherwise(F.col("lost")).alias("lost")
     )
-    marks = marks.select(F.col("doc_id").alias("d"), F.col("variant").alias("v"), "marks")
-    hit = held.join(marks, held.doc_id.eqNullSafe(F.col("d")) & (held.variant == F.col("v")))
+    marks = later.groupBy("doc_id", "variant").agg(F.flatten(F.collect_list("lost")).alias("marks"))
+    marks = marks.select(F.col("doc_id").alias("m"), F.col("variant").alias("v"), "marks")
+    keyed = asked.select("d", "g", "variant").join(marks, F.col("d").eqNullSafe(F.col("m")) & (F.col("variant") == F.col("v")))
+    hit = with_text(cut_lineage(keyed.select("d", "g", "marks")))
     cut = hit.select("doc_id", "h", "text", "marks").mapInArrow(
         _cut(length), "doc_id long, h long, n_removed long, kept_sha256 string, kept_text string"
     )
