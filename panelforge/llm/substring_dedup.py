@@ -256,7 +256,7 @@ def repeats(docs: DataFrame, length: int = 20, k: int = 6) -> tuple[DataFrame, D
     marks = later.groupBy("doc_id", "variant").agg(F.flatten(F.collect_list("lost")).alias("marks"))
     marks = marks.select(F.col("doc_id").alias("m"), F.col("variant").alias("v"), "marks")
     keyed = asked.select("d", "g", "variant").join(marks, F.col("d").eqNullSafe(F.col("m")) & (F.col("variant") == F.col("v")))
-    hit = with_text(cut_lineage(keyed.select("d", "g", "marks")))
+    hit = with_text(keyed.select("d", "g", "marks"))
     cut = hit.select("doc_id", "h", "text", "marks").mapInArrow(
         _cut(length), "doc_id long, h long, n_removed long, kept_sha256 string, kept_text string"
     )
