@@ -186,6 +186,6 @@ def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
         ~F.col("_id").eqNullSafe(F.col("component_id")) | (F.col("_hash") != F.col("_least"))
     )
     gone = gone.select(F.col("_id").alias("_gone"), F.col("_hash").alias("_of")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64(filled("text")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_of"))
-    return keyed.join(gone, same, "left_anti").select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("_all"), F.col("doc_id").cast("long").alias("_mine"), F.xxhash64(filled("text")).alias("_key"))
+    same = F.col("_mine").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_of"))
+    return keyed.join(gone, same, "left_anti").select("_all.*")

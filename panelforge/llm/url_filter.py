@@ -51,11 +51,12 @@ def characters(url: Column) -> Column:
 def grams(text: Column, order: int = ORDER) -> Column:
     """For every character the string of it and its ``order - 1`` predecessors; line feeds stand before the first."""
     letters = F.concat(F.array_repeat(F.lit("\n"), order - 1), F.filter(F.split(text, ""), lambda c: c != ""))
+    count = F.size(letters) - (order - 1)
     # The array index is by character, so long urls cost no more per character than short ones.
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(letters) - (order - 1), F.lit(0))),
-        lambda i: F.array_join(F.slice(letters, i, order), ""),
+    made = F.transform(
+        F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(letters, i, order), "")
     )
+    return F.when(count > 0, made).otherwise(F.array().cast("array<string>"))
 
 
 def _models(training: DataFrame, order: int, smoothing: float) -> list[DataFrame]:
