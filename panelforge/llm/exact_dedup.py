@@ -155,7 +155,8 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         .groupBy("sha")
         .agg(F.max(F.struct("_id", "row")).getField("row").alias("keep_row"))
     )
-    groups = _compared(base, repeated).join(last, "sha")
+    # A table of its own, so that the join below can be split where one text has a third of all rows.
+    groups = cut_lineage(_compared(base, repeated).join(last, "sha"))
     return narrow.join(groups, "sha", "left").select(
         "_id",
         F.when(F.col("keep_row").isNull(), F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"),
