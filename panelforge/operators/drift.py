@@ -51,14 +51,17 @@ def numeric_drift(
     columns: list[str],
     p_threshold: float = 0.05,
     distance_threshold: float = 0.1,
-    large_sample: int = 1000,
+    method: str = "ks",
     buckets: int = BUCKETS,
 ) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov and Wasserstein-1 statistics per numeric column.
 
-    Small reference samples are judged by the KS p-value; above ``large_sample``
-    values by the Wasserstein distance in units of the reference deviation.
+    Both are returned with their flags, the Wasserstein distance in units of the
+    reference deviation.  ``method`` (wasserstein or ks) names the one that
+    decides ``score`` and ``drifted``; the number of rows plays no part.
     """
+    if method not in ("wasserstein", "ks"):
+        raise ValueError("method is 'wasserstein' or 'ks'")
     weights = {"r": _in_window("reference").cast("long"), "c": _in_window("current").cast("long")}
     counts = ordered_counts(df, columns, weights, buckets)
     gap = F.abs(F.try_divide("cum_r", "total_r") - F.try_divide("cum_c", "total_c"))
@@ -83,7 +86,10 @@ def numeric_drift(
         F.col("ks_statistic"), F.col("n_reference").cast("double"), F.col("n_current").cast("double")
     )
     normalised = F.col("wasserstein") / F.greatest("reference_std", F.lit(0.001))
-    large = F.col("n_reference") > large_sample
+    flags = {
+        "ks_drifted": F.coalesce(F.col("p_value") < p_threshold, F.lit(False)),
+        "distance_drifted": F.coalesce(F.col("wasserstein_norm") >= distance_threshold, F.lit(False)),
+    }
     return (
         spread.join(stats, "feature", "left")
         .withColumns({"p_value": p_value, "wasserstein_norm": normalised})
@@ -95,14 +101,10 @@ def numeric_drift(
             "p_value",
             "wasserstein",
             "wasserstein_norm",
-            F.when(large, "wasserstein").otherwise("ks").alias("method"),
-            F.when(large, F.col("wasserstein_norm")).otherwise(F.col("p_value")).alias("score"),
-            F.coalesce(
-                F.when(large, F.col("wasserstein_norm") >= distance_threshold).otherwise(
-                    F.col("p_value") < p_threshold
-                ),
-                F.lit(False),
-            ).alias("drifted"),
+            F.lit(method).alias("method"),
+            F.col("p_value" if method == "ks" else "wasserstein_norm").alias("score"),
+            *(flag.alias(name) for name, flag in flags.items()),
+            flags["ks_drifted" if method == "ks" else "distance_drifted"].alias("drifted"),
         )
     )
 

@@ -953,9 +953,8 @@ p AS (
 ),
 numeric_drift AS (
   SELECT feature, n_reference, n_current, d AS ks_statistic, p_value, w AS wasserstein, wn AS wasserstein_norm,
-         CASE WHEN n_reference > 1000 THEN 'wasserstein' ELSE 'ks' END AS method,
-         CASE WHEN n_reference > 1000 THEN wn ELSE p_value END AS score,
-         CASE WHEN n_reference > 1000 THEN wn >= 0.1 ELSE p_value < 0.05 END AS drifted
+         'ks' AS method, p_value AS score, coalesce(p_value < 0.05, false) AS ks_drifted,
+         coalesce(wn >= 0.1, false) AS distance_drifted, coalesce(p_value < 0.05, false) AS drifted
   FROM p
 )"""
 )
@@ -967,7 +966,7 @@ numeric_drift AS (
         ECDF,
         """SELECT feature, n_reference, n_current, ROUND(ks_statistic, 6) AS ks_statistic, ROUND(p_value, 6) AS p_value,
                   ROUND(wasserstein, 2) AS wasserstein, ROUND(wasserstein_norm, 6) AS wasserstein_norm, method,
-                  ROUND(score, 6) AS score, drifted FROM numeric_drift""",
+                  ROUND(score, 6) AS score, ks_drifted, distance_drifted, drifted FROM numeric_drift""",
     ),
 )
 def _(spark, sf_dir):

@@ -44,20 +44,20 @@ def read_pages(spark: SparkSession, path: str | list[str], on_bad: str = "raise"
     A file that is not JSON, or has no ``response``, is a bad page.  ``raise``
     fails the job that meets one, ``keep`` leaves it in with its reason.
     """
+    reader = spark.read.schema(PAGE_SCHEMA).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record")
+    return checked_pages(reader.json(path), on_bad)
+
+
+def checked_pages(raw: DataFrame, on_bad: str) -> DataFrame:
+    """``page``, ``response`` and ``bad_reason`` of pages as the JSON reader gives them, batch or stream."""
     if on_bad not in ("raise", "keep"):
         raise ValueError("on_bad is 'raise' or 'keep'")
-    pages = (
-        spark.read.schema(PAGE_SCHEMA)
-        .option("multiLine", True)
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .json(path)
-        .select(
-            F.col("_metadata.file_path").alias("page"),
-            "response",
-            F.when(F.col("_corrupt_record").isNotNull(), "invalid JSON")
-            .when(F.col("response").isNull(), "no response in payload")
-            .alias("bad_reason"),
-        )
+    pages = raw.select(
+        F.col("_metadata.file_path").alias("page"),
+        "response",
+        F.when(F.col("_corrupt_record").isNotNull(), "invalid JSON")
+        .when(F.col("response").isNull(), "no response in payload")
+        .alias("bad_reason"),
     )
     if on_bad == "keep":
         return pages

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from panelforge.schema import KEY
-from panelforge.sources.pages import PAGE_SCHEMA, normalise_rows, page_rows
+from panelforge.sources.pages import PAGE_SCHEMA, checked_pages, normalise_rows, page_rows
 from panelforge.sources.store import upsert
 
 LOOKBACK = "7 days"
@@ -17,11 +17,16 @@ LOOKBACK = "7 days"
 def stream_pages(
     spark: SparkSession, path: str, route: str, files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Normalised rows of JSON pages as they land in a folder."""
-    reader = spark.readStream.schema(PAGE_SCHEMA).option("multiLine", True)
+    """Normalised rows of JSON pages as they land in a folder.
+
+    A bad page fails the stream, as it fails the batch read, and is met again after a restart.
+    """
+    reader = spark.readStream.schema(PAGE_SCHEMA).option("multiLine", True).option(
+        "columnNameOfCorruptRecord", "_corrupt_record"
+    )
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return normalise_rows(page_rows(reader.json(path)), route)
+    return normalise_rows(page_rows(checked_pages(reader.json(path), "raise")), route)
 
 
 def stream_observations(

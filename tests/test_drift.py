@@ -47,11 +47,18 @@ def test_p_values(spark):
     assert math.isclose(series, 0.05, abs_tol=1e-3) and 0 < x < 1
 
 
-def test_large_samples_use_the_normalised_distance(spark):
+def test_repeated_rows_change_no_method(spark):
     rng = np.random.default_rng(5)
-    df = windowed(spark, rng.normal(0, 10, 1500), rng.normal(5, 10, 900))
-    row = drift.numeric_drift(df, ["x"]).first()
-    assert row["method"] == "wasserstein" and row["drifted"] and 0.3 < row["score"] < 0.7
+    few, moved = list(rng.normal(0, 10, 150)), list(rng.normal(5, 10, 90))
+    for method in ("wasserstein", "ks"):
+        once = drift.numeric_drift(windowed(spark, few, moved), ["x"], method=method).first()
+        often = drift.numeric_drift(windowed(spark, few * 10, moved * 10), ["x"], method=method).first()
+        assert once["method"] == often["method"] == method
+        assert math.isclose(once["wasserstein_norm"], often["wasserstein_norm"], rel_tol=1e-9)
+        assert once["distance_drifted"] and often["distance_drifted"] and often["drifted"]
+        assert once["drifted"] == once["ks_drifted" if method == "ks" else "distance_drifted"]
+    with pytest.raises(ValueError):
+        drift.numeric_drift(windowed(spark, few, moved), ["x"], method="other")
 
 
 def test_one_window_without_values(spark):

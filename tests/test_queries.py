@@ -18,7 +18,7 @@ def duck():
 
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"tier_model_metrics", "walk_forward_search", "next_day_forecast"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"tier_model_metrics", "walk_forward_search", "next_day_forecast"}
 
 
 def test_entry_has_rows(spark):
