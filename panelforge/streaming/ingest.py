@@ -42,6 +42,8 @@ def stream_observations(
 def drop_repeats(df: DataFrame, key: list[str] = KEY, time: str = "period", lookback: str = LOOKBACK) -> DataFrame:
     """First copy of each key among rows no older than ``lookback``.
 
+    With the default key a later revision of a row is dropped as a repeat: before an upsert
+    pass ``[*KEY, "value"]``, so that revisions go on.
     Event time must be a timestamp with zone, so a day becomes its midnight.
     State is kept for the lookback only.
     """
