@@ -18,7 +18,14 @@ from pyspark.sql import functions as F
 
 from panelforge.schema import nan_to_null
 
-BUCKETS = 256
+#: Rows a bucket holds at most before more buckets are cut, and the most cuts fitted.  Both set the number of
+#: tasks only: results are exact for any buckets.
+ROWS_PER_BUCKET = 1_000_000
+MOST_BUCKETS = 4096
+
+
+def bucket_count(rows: int) -> int:
+    return max(1, min(MOST_BUCKETS, -(-rows // ROWS_PER_BUCKET)))
 
 
 def _with_buckets(df: DataFrame, columns: list[str], buckets: int) -> DataFrame:
@@ -38,11 +45,11 @@ def _with_buckets(df: DataFrame, columns: list[str], buckets: int) -> DataFrame:
 
 
 def ordered_counts(
-    df: DataFrame, columns: list[str], weights: dict[str, Column], buckets: int = BUCKETS
+    df: DataFrame, columns: list[str], weights: dict[str, Column], buckets: int | None = None
 ) -> DataFrame:
     """Per column and distinct value: counts and cumulative counts.
 
-    ``weights`` are 0/1 (or integer) expressions over ``df``, summed per value.
+    ``buckets`` follows from the number of rows where it is not given.  ``weights`` are 0/1 (or integer) expressions over ``df``, summed per value.
     Result: (feature, value, next_value, and per weight w: w, cum_w, total_w).
     """
     clean = df.select(
@@ -50,6 +57,7 @@ def ordered_counts(
         *[w.alias(name) for name, w in weights.items()],
     )
     values = [f"_v_{i}" for i in range(len(columns))]
+    buckets = buckets or bucket_count(df.count())
     bucketed = _with_buckets(clean, values, buckets)
     entries = F.array(
         *[
@@ -97,7 +105,7 @@ def ordered_counts(
             for name in weights
         ],
     )
-    # At most columns x (buckets + 1) rows: the size of this side is fixed by the arguments.
+    # At most columns x (buckets + 1) rows: the size of this side is bounded by MOST_BUCKETS.
     return local.join(F.broadcast(totals), ["feature", "bucket"]).select(
         "feature",
         "value",
@@ -125,7 +133,7 @@ def quantile_columns(probabilities: dict[str, float]) -> list[Column]:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probabilities: dict[str, float], buckets: int = BUCKETS
+    df: DataFrame, columns: list[str], probabilities: dict[str, float], buckets: int | None = None
 ) -> DataFrame:
     """(feature, one column per quantile)."""
     counts = ordered_counts(df, columns, {"n": F.lit(1)}, buckets)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions import errors
-from panelforge.operators.distribution import BUCKETS, ordered_counts, quantile_columns, unpivot_row
+from panelforge.operators.distribution import ordered_counts, quantile_columns, unpivot_row
 from panelforge.schema import CATEGORICAL_FEATURES, FEATURE_COLUMNS, nan_to_null
 
 
@@ -43,7 +43,8 @@ def _ks_p_value(statistic: Column, n: Column, m: Column) -> Column:
     )
     series = F.aggregate(terms, F.lit(0.0), lambda acc, term: acc + term)
     # Below this the series has not converged, and the probability is 1 to many digits.
-    return F.when(x < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
+    bounded = F.when(x < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
+    return F.when(x.isNotNull(), bounded)
 
 
 def numeric_drift(
@@ -52,13 +53,14 @@ def numeric_drift(
     p_threshold: float = 0.05,
     distance_threshold: float = 0.1,
     method: str = "ks",
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov and Wasserstein-1 statistics per numeric column.
 
     Both are returned with their flags, the Wasserstein distance in units of the
     reference deviation.  ``method`` (wasserstein or ks) names the one that
-    decides ``score`` and ``drifted``; the number of rows plays no part.
+    decides ``score`` and ``drifted``; the number of rows plays no part.  A column
+    without values in one of the windows has neither statistic and no flag.
     """
     if method not in ("wasserstein", "ks"):
         raise ValueError("method is 'wasserstein' or 'ks'")
@@ -70,7 +72,7 @@ def numeric_drift(
         F.max("total_r").alias("n_reference"),
         F.max("total_c").alias("n_current"),
         F.max(gap).alias("ks_statistic"),
-        F.coalesce(F.sum(gap * width), F.lit(0.0)).alias("wasserstein"),
+        F.when((F.max("total_r") > 0) & (F.max("total_c") > 0), F.coalesce(F.sum(gap * width), F.lit(0.0))).alias("wasserstein"),
     )
     spread = unpivot_row(
         df.agg(
@@ -195,7 +197,7 @@ def target_drift(columns: DataFrame, target: str = "target") -> DataFrame:
     return columns.filter(F.col("feature") == target).select("feature", "method", "score", "drifted")
 
 
-def quality_profile(df: DataFrame, columns: list[str], buckets: int = BUCKETS) -> DataFrame:
+def quality_profile(df: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:
     """Per numeric column: rows, missing, distinct, mean, deviation, extremes, quartiles, share of the commonest value."""
     numbers = [nan_to_null(F.col(c).cast("double")) for c in columns]
     wide = df.agg(

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import errors
-from panelforge.operators.distribution import BUCKETS, ordered_counts, quantile_columns, unpivot_row
+from panelforge.operators.distribution import ordered_counts, quantile_columns, unpivot_row
 from panelforge.schema import SERIES, nan_to_null
 
 VALUES = list(SERIES.values())
 
 
-def describe(df: DataFrame, columns: list[str] = VALUES, buckets: int = BUCKETS) -> DataFrame:
+def describe(df: DataFrame, columns: list[str] = VALUES, buckets: int | None = None) -> DataFrame:
     """Count, mean, sample deviation, min, exact quartiles and max per column."""
     numbers = [nan_to_null(F.col(c).cast("double")) for c in columns]
     wide = df.agg(

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.ml.feature import VectorAssembler
@@ -55,6 +55,13 @@ class TierModel:
     features: list[str]
     entities: DataFrame
 
+    best_score: float | None = None
+
+    @property
+    def best_iteration(self) -> int:
+        """Boosting iterations kept: the trees up to the best validation error."""
+        return self.regressor.getNumTrees
+
     @property
     def trees(self) -> int:
         return self.regressor.getNumTrees
@@ -125,7 +132,8 @@ def fit_tier(
     entities = levels.join(lost, "respondent", "full").select(
         "respondent", "_level", F.coalesce("fallback", F.lit(False)).alias("fallback")
     )
-    return TierModel(tier, regressor, scale, list(features), cut_lineage(entities))
+    best = scored.agg(errors.mae("target", "_raw").alias("mae")).first()["mae"]
+    return TierModel(tier, regressor, scale, list(features), cut_lineage(entities), best)
 
 
 def fallback_of(model: TierModel) -> DataFrame:
@@ -150,11 +158,16 @@ def predict_with_tier_models(
     name: str = "model_prediction",
     enable_fallback: bool = True,
 ) -> DataFrame:
-    """Score every row with the model of its tier; rows of other tiers get NULL."""
-    parts = [predict(df.filter(F.col("tier") == t), m, name, enable_fallback) for t, m in models.items()]
-    modelled = F.coalesce(F.col("tier").isin(list(models)), F.lit(False))
-    rest = df.filter(~modelled).drop(name).withColumn(name, F.lit(None).cast("double"))
-    return reduce(DataFrame.unionByName, [*parts, rest])
+    """Score every row with the model of its tier; rows of other tiers get NULL.
+
+    The rows are read once and pass the models one after the other, each row keeping its own tier's value.
+    """
+    columns = [c for c in df.columns if c != name]
+    scored = df.select(*columns).withColumn("_chosen", F.lit(None).cast("double"))
+    for tier, model in models.items():
+        own = F.when(F.col("tier") == tier, F.col(name)).otherwise(F.col("_chosen"))
+        scored = predict(scored, model, name, enable_fallback).withColumn("_chosen", own).drop(name)
+    return scored.select(*columns, F.col("_chosen").alias(name))
 
 
 def _side_by_side(spark: SparkSession, fits: list[Callable], parallelism: int) -> list:
@@ -193,37 +206,47 @@ def latest_rows(features: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ persistence
 
 
+META = "tier string, scale double, features array<string>, best_score double"
+
+
 def save_model(model: TierModel, path: str) -> None:
     spark = model.entities.sparkSession
     model.regressor.write().overwrite().save(f"{path}/regressor")
     model.entities.write.mode("overwrite").parquet(f"{path}/entities")
     meta = spark.createDataFrame(
-        [(model.tier, model.scale, model.features)], "tier string, scale double, features array<string>"
+        [(model.tier, model.scale, model.features, model.best_score)], META
     )
     meta.write.mode("overwrite").json(f"{path}/meta")
 
 
 def load_model(spark: SparkSession, path: str) -> TierModel:
-    meta = spark.read.schema("tier string, scale double, features array<string>").json(f"{path}/meta").first()
+    meta = spark.read.schema(META).json(f"{path}/meta").first()
     return TierModel(
         tier=meta["tier"],
         regressor=GBTRegressionModel.load(f"{path}/regressor"),
         scale=meta["scale"],
         features=list(meta["features"]),
         entities=spark.read.parquet(f"{path}/entities"),
+        best_score=meta["best_score"],
     )
 
 
 # ------------------------------------------------------------------ search
 
 
+# Bounds of the search, which must equal the compared library's.
+STEP_BOUNDS = (0.01, 0.15)
+DEPTH_BOUNDS = (3, 10)
+
+
 def random_candidates(n: int, seed: int = 42, **fixed) -> list[dict]:
-    """Seeded parameter sets; learning rates are drawn on a log scale."""
+    """Seeded parameter sets; learning rates are drawn log-uniformly."""
     draw = random.Random(seed)
+    low, high = map(math.log, STEP_BOUNDS)
     return [
         {
-            "stepSize": round(0.01 * 15 ** draw.random(), 6),
-            "maxDepth": draw.randint(3, 7),
+            "stepSize": round(math.exp(draw.uniform(low, high)), 6),
+            "maxDepth": draw.randint(*DEPTH_BOUNDS),
             "minInstancesPerNode": draw.randint(10, 50),
             "subsamplingRate": round(draw.uniform(0.6, 1.0), 4),
             "featureSubsetStrategy": str(round(draw.uniform(0.6, 1.0), 4)),

@@ -103,6 +103,7 @@ def quality_summary(df: DataFrame, negative_allowed: list[str] = NEGATIVE_ALLOWE
             F.sum("n_negative").alias("negatives"),
             F.sum("n_zero").alias("zeros"),
             F.max(duplicate_day).alias("duplicate_day"),
+            F.max(F.when(F.col("n") > 1, F.struct("period", "type"))).alias("duplicate_key"),
             F.count_if(is_target).alias("target_keys"),
             F.count_if(F.col("type") == FORECAST_TYPE).alias("forecast_keys"),
             F.count(target_day).alias("days"),
@@ -137,6 +138,11 @@ def duplicate_keys(df: DataFrame, key: list[str] = KEY) -> DataFrame:
     )
 
 
+def repeated_keys(df: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """Every key that occurs more than once, with its number of rows."""
+    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
 def missing_values(df: DataFrame) -> DataFrame:
     """Missing count and share per type and in total (``type`` NULL with ``total`` true)."""
     return (
@@ -367,7 +373,7 @@ def validate(
             t["duplicates"] > 0,
             _finding("duplicates", ERROR, _text("%d duplicate rows on the key", t["duplicates"]),
                      {"count": t["duplicates"]}),
-        ).otherwise(_finding("duplicates", INFO, F.lit("no duplicate keys"))),
+        ).otherwise(_finding("duplicates", INFO, F.lit("every key occurs once"))),
         zone_finding,
         F.when(
             t["missing"] > 0,
@@ -417,7 +423,7 @@ def validate(
     ]
     findings = row.select(
         F.inline(
-            F.when(t["rows"] == 0, F.array(_finding("input", ERROR, F.lit("dataset is empty"))))
+            F.when(t["rows"] == 0, F.array(_finding("input", ERROR, F.lit("no rows in the input"))))
             .when(u["n_units"] > 1, F.array(units_finding))
             .otherwise(F.filter(F.array(*checks), lambda f: f.isNotNull()))
         )
@@ -470,19 +476,23 @@ def _entity_details(
             value.cast("string").alias("value"),
         )
 
-    def leading(counter: str) -> DataFrame:
-        return per_entity.filter(F.col(counter) > 0).orderBy(F.desc(counter), "respondent").limit(10)
+    def occurring(counter: str) -> DataFrame:
+        return per_entity.filter(F.col(counter) > 0)
 
     low = coverage.filter("selection = 'low_coverage'")
     later = [
         rows(per_type.filter("missing > 0"), "missing_values", "type", "by_type", "missing"),
         rows(per_type.filter("negatives > 0"), "negative_values", "type", "by_type", "negatives"),
-        rows(leading("negatives"), "negative_values", "respondent", "by_respondent", "negatives"),
-        rows(leading("zeros"), "zero_demand", "respondent", "by_respondent", "zeros"),
+        rows(occurring("negatives"), "negative_values", "respondent", "by_respondent", "negatives"),
+        rows(occurring("zeros"), "zero_demand", "respondent", "by_respondent", "zeros"),
         rows(
-            per_entity.filter("duplicates > 0").orderBy("respondent").limit(5),
+            per_entity.filter("duplicates > 0"),
             "duplicates", "respondent", "last_day", "duplicate_day",
         ),
+        rows(
+            per_entity.filter("duplicates > 0"), "duplicates", "respondent", "last_key",
+            F.concat_ws(" ", F.col("duplicate_key.period").cast("string"), "duplicate_key.type"),
+        ),
         rows(coverage.filter("selection = 'aggregate'"), "aggregates", "respondent", "excluded", "days"),
         rows(low, "coverage", "respondent", "coverage_pct", "coverage_pct"),
         rows(low, "coverage", "respondent", "days", "days"),

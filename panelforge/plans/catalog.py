@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.dates import calendar_parts, cyclical_parts, holiday_flags
@@ -23,9 +26,10 @@ from panelforge.operators import (
     splits,
 )
 from panelforge.plans import sql as q
-from panelforge.schema import SERIES
-from panelforge.session import cut_lineage
-from panelforge.sources import pages, tables
+from panelforge.schema import NUMERIC_FEATURES, SERIES, TIER_NAMES
+from panelforge.session import checkpoint_dir, cut_lineage
+from panelforge.sources import pages, sinks, store, tables
+from panelforge.sources.ingest_job import ingest_landed
 from panelforge.streaming.rollups import daily_quality, daily_rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,13 +50,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 # ------------------------------------------------------------------ shared inputs
 
 
-def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.supplier_panel(spark, sf_dir).select("period", "respondent", *SERIES.values())
+def wide(spark: SparkSession, sf_dir: str, *series: str) -> DataFrame:
+    names = list(series or SERIES.values())
+    return tables.supplier_panel(spark, sf_dir, names).select("period", "respondent", *names)
 
 
-def stored_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_wide(spark: SparkSession, sf_dir: str, *series: str) -> DataFrame:
     """The panel as a written table, for plans that use it more than once: the raw rows are read once."""
-    return cut_lineage(wide(spark, sf_dir))
+    return cut_lineage(wide(spark, sf_dir, *series))
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +94,7 @@ def split_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = cut_lineage(split_predicted(spark, sf_dir))
+    df = cut_lineage(split_predicted(spark, sf_dir).withColumn("prediction", F.col("demand_lag_6")))
     fallback = scoring.fallback_entities(df.filter("split = 'val'"), "prediction")
     return scoring.apply_fallback(df, fallback, "prediction")
 
@@ -238,6 +243,137 @@ def _(spark, sf_dir):
     )
 
 
+# ------------------------------------------------------------------ landed pages and the store, written and read back
+
+
+def _scratch(spark, name):
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+LOST = "(n_name = 'NATION_12' OR (n_name = 'NATION_20' AND YEAR(l_shipdate) = 1995))"
+LANDED = f"""
+landed AS (SELECT CAST(l_shipdate AS DATE) AS period, n_name AS respondent, n_nationkey, {LOST} AS lost,
+                  ROUND(SUM(CAST(ROUND(l_extendedprice * 100) AS BIGINT)) / 100) AS value
+           FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2, 3, 4)"""
+
+
+def _landing(spark, sf_dir):
+    """Demand as JSON pages, a document per nation and year (at most 366 rows); the source lost the rows of some."""
+    lost = "respondent = 'NATION_12' or (respondent = 'NATION_20' and year = 1995)"
+    rows = wide(spark, sf_dir, "demand").select(
+        "respondent",
+        F.year("period").alias("year"),
+        F.struct(
+            F.date_format("period", "yyyy-MM-dd").alias("period"),
+            "respondent",
+            F.lower("respondent").alias("respondent-name"),
+            F.lit("D").alias("type"),
+            F.lit("demand").alias("type-name"),
+            F.col("demand").cast("decimal(20,0)").cast("string").alias("value"),
+            F.lit(tables.UNITS).alias("value-units"),
+            F.lit(tables.TIMEZONE).alias("timezone"),
+        ).alias("row"),
+    )
+    page = rows.groupBy("respondent", "year").agg(F.collect_list("row").alias("rows"))
+    total = F.sum(F.size("rows")).over(Window.partitionBy("respondent")).cast("string")
+    data = F.when(F.expr(lost), F.filter("rows", lambda _: F.lit(False))).otherwise(F.col("rows"))
+    body = F.to_json(F.struct(F.struct(total.alias("total"), data.alias("data")).alias("response")))
+    path = _scratch(spark, "landing")
+    page.select(body.alias("value"), F.col("respondent").alias("entity"), "year").write.partitionBy("entity", "year").text(path)
+    return path
+
+
+@query(
+    "landed_rows",
+    q.with_(
+        LANDED,
+        """SELECT period, respondent, LOWER(respondent) AS respondent_name, 'D' AS type, value, 'currency' AS value_units,
+                  'UTC' AS timezone, '1999-01-01 06:00' AS ingested_at, 'pages' AS _source_route FROM landed WHERE NOT lost""",
+    ),
+)
+def _(spark, sf_dir):
+    rows = pages.page_rows(pages.read_pages(spark, _landing(spark, sf_dir)))
+    out = pages.normalise_rows(rows, "pages", "1999-01-01 06:00:00").withColumn("ingested_at", F.date_format("_ingested_at", "yyyy-MM-dd HH:mm"))
+    return out.select(
+        "period", "respondent", "respondent_name", "type", "value", "value_units", "timezone", "ingested_at", "_source_route"
+    )
+
+
+@query(
+    "page_audit",
+    q.with_(
+        LANDED,
+        """SELECT respondent, COUNT(*) FILTER (WHERE NOT lost) AS fetched, COUNT(*) AS reported,
+                  COUNT(*) FILTER (WHERE lost) = 0 AS complete FROM landed GROUP BY 1""",
+    ),
+)
+def _(spark, sf_dir):
+    landed = pages.read_pages(spark, _landing(spark, sf_dir))
+    asked = landed.select("page", F.regexp_extract("page", "entity=([^/]+)", 1).alias("respondent"))
+    return pages.page_audit(landed, asked).drop("page")
+
+
+@query(
+    "ingest_job",
+    q.with_(
+        LANDED + ", found AS (SELECT respondent, COUNT(*) FILTER (WHERE NOT lost) AS n, COUNT(*) AS seen FROM landed GROUP BY 1)",
+        """SELECT n_name AS respondent, CASE WHEN n_nationkey < 10 AND seen > 0 THEN 'skipped' WHEN n_nationkey = 24 THEN 'failed'
+                  WHEN COALESCE(n, 0) = 0 THEN 'no_data' ELSE 'ok' END AS status,
+                  CASE WHEN n_nationkey >= 10 AND n_nationkey <> 24 THEN COALESCE(n, 0) ELSE 0 END AS rows,
+                  CASE WHEN n_nationkey = 24 THEN 'timeout' END AS reason
+           FROM nation LEFT JOIN found ON n_name = found.respondent""",
+    ),
+)
+def _(spark, sf_dir):
+    """A run that resumes: the store holds the first ten nations already."""
+    nations = tables.table(spark, sf_dir, "nation").select(F.col("n_name").alias("respondent"), "n_nationkey")
+    path = _scratch(spark, "store")
+    store.upsert(ingest.restrict_to(observations(spark, sf_dir), nations.filter("n_nationkey < 10")), path)
+    failures = nations.filter("n_nationkey = 24").select("respondent", F.lit("timeout").alias("reason"))
+    return ingest_landed(
+        spark, _landing(spark, sf_dir), path, nations, "pages", resume=True, failures=failures, log=_scratch(spark, "failures")
+    )
+
+
+def _event_store(spark, sf_dir):
+    """Events upserted in two batches that share a week, as a run with lookback does."""
+    path = _scratch(spark, "store")
+    df = tables.event_observations(spark, sf_dir)
+    middle = df.agg(F.expr("timestamp_micros((unix_micros(min(_ingested_at)) + unix_micros(max(_ingested_at))) div 2)").alias("m")).first()["m"]
+    store.upsert(df.filter(F.col("_ingested_at") < F.lit(middle)), path, grain="month")
+    store.upsert(df.filter(F.col("_ingested_at") >= F.lit(middle) - F.expr("interval 7 days")), path, grain="month")
+    return path
+
+
+NEWEST = """SELECT CAST(ts AS DATE) AS period, CAST(user_id AS VARCHAR) AS respondent, event_type AS type,
+                   ARG_MAX(value, (ts, value)) AS value FROM events GROUP BY 1, 2, 3"""
+
+
+@query("store_full_scan", NEWEST)
+def _(spark, sf_dir):
+    return store.read_store(spark, _event_store(spark, sf_dir)).select("period", "respondent", "type", "value")
+
+
+@query(
+    "store_window_scan",
+    f"WITH n AS ({NEWEST}), m AS (SELECT MAX(period) AS d FROM n) SELECT n.* FROM n, m WHERE period BETWEEN d - 9 AND d - 3",
+)
+def _(spark, sf_dir):
+    last = tables.table(spark, sf_dir, "events").agg(F.to_date(F.max("ts")).alias("d")).first()["d"]
+    days = [last - dt.timedelta(days=k) for k in (9, 3)]
+    return store.scan_store(spark, _event_store(spark, sf_dir), *days).select("period", "respondent", "type", "value")
+
+
+@query(
+    "feature_store_tier",
+    q.with_(q.FEATURES, "SELECT respondent, target_date, target, demand_t FROM features WHERE tier = 'Medium'"),
+)
+def _(spark, sf_dir):
+    path = _scratch(spark, "features")
+    sinks.write_features(feature_table(spark, sf_dir), path)
+    return sinks.read_features(spark, path, "Medium").select("respondent", "target_date", "target", "demand_t")
+
+
 FOCUS = ["NATION_1", "NATION_7", "NATION_12", "NATION_20"]
 FOCUS_SQL = ", ".join(f"'{n}'" for n in FOCUS)
 
@@ -561,7 +697,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return rounded(features.tier_by_threshold(wide(spark, sf_dir), 100_000, 80_000), 4, "mean_demand")
+    return rounded(features.tier_by_threshold(wide(spark, sf_dir, "demand"), 100_000, 80_000), 4, "mean_demand")
 
 
 @query("daily_reindex", q.with_(q.DAILY, "SELECT * FROM daily"))
@@ -569,8 +705,8 @@ def _(spark, sf_dir):
     return panel.reindex_daily(wide(spark, sf_dir))
 
 
-def _windowed(spark, sf_dir, columns):
-    daily = panel.reindex_daily(wide(spark, sf_dir))
+def _windowed(spark, sf_dir, columns, *series):
+    daily = panel.reindex_daily(wide(spark, sf_dir, *series))
     return daily.select("respondent", "period", *[c.alias(n) for n, c in columns.items()])
 
 
@@ -595,12 +731,12 @@ def _(spark, sf_dir):
 
 @query("demand_lags", _window_sql("demand AS demand_t, " + q.lags("demand", [1, 2, 6, 7, 13, 14, 364], "demand")))
 def _(spark, sf_dir):
-    return _windowed(spark, sf_dir, features.demand_lag_columns())
+    return _windowed(spark, sf_dir, features.demand_lag_columns(), "demand")
 
 
 @query("rolling_statistics", _window_sql(q.ROLLING))
 def _(spark, sf_dir):
-    return rounded_features(_windowed(spark, sf_dir, features.rolling_columns()))
+    return rounded_features(_windowed(spark, sf_dir, features.rolling_columns(), "demand"))
 
 
 @query("rolling_trend", _window_sql(q.TRENDS))
@@ -662,24 +798,26 @@ def _(spark, sf_dir):
     return _order_days(spark, sf_dir).withColumns(holiday_flags("target_date"))
 
 
-@query(
-    "feature_matrix",
-    q.with_(
-        "holiday_range AS (SELECT MIN(YEAR(l_shipdate)) AS a, MAX(YEAR(l_shipdate)) + 1 AS b FROM lineitem),"
-        + q.HOLIDAYS + ", " + q.DAILY
-        + f""",
-        tiers AS (SELECT n_name AS respondent, {q.TIER_CASE} AS tier FROM nation),
-        shifted AS (
-          SELECT period AS forecast_date, period + 1 AS target_date, respondent,
-                 LEAD(demand) OVER w AS target, LEAD(demand_forecast) OVER w AS benchmark_forecast,
-                 demand AS naive_persistence, demand AS demand_t,
-                 {q.lags("demand", [1, 2, 6, 7, 13, 14, 364], "demand")}, {q.ROLLING}, {q.TRENDS}, {EXOGENOUS}
-          FROM daily WINDOW w AS (PARTITION BY respondent ORDER BY period)
-        )""",
-        f"""SELECT s.*, tier, {q.CALENDAR}, {q.CYCLICAL}, {q.holiday_flags('target_date')}
-            FROM shifted s JOIN tiers USING (respondent) WHERE target IS NOT NULL""",
-    ),
+MATRIX = (
+    "holiday_range AS (SELECT MIN(YEAR(l_shipdate)) AS a, MAX(YEAR(l_shipdate)) + 1 AS b FROM lineitem),"
+    + q.HOLIDAYS + ", " + q.DAILY
+    + f""",
+tiers AS (SELECT n_name AS respondent, {q.TIER_CASE} AS tier FROM nation),
+shifted AS (
+  SELECT period AS forecast_date, period + 1 AS target_date, respondent,
+         LEAD(demand) OVER w AS target, LEAD(demand_forecast) OVER w AS benchmark_forecast,
+         demand AS naive_persistence, demand AS demand_t,
+         {q.lags("demand", [1, 2, 6, 7, 13, 14, 364], "demand")}, {q.ROLLING}, {q.TRENDS}, {EXOGENOUS}
+  FROM daily WINDOW w AS (PARTITION BY respondent ORDER BY period)
+),
+matrix AS (
+  SELECT s.*, tier, {q.CALENDAR}, {q.CYCLICAL}, {q.holiday_flags('target_date')}
+  FROM shifted s JOIN tiers USING (respondent) WHERE target IS NOT NULL
+)"""
 )
+
+
+@query("feature_matrix", q.with_(MATRIX, "SELECT * FROM matrix"))
 def _(spark, sf_dir):
     return rounded_features(feature_table(spark, sf_dir))
 
@@ -804,7 +942,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     val = split_predicted(spark, sf_dir).filter("split = 'val'")
-    return rounded(scoring.guardrail(val, "prediction"), 4, "model_mae", "naive_mae")
+    return rounded(scoring.guardrail(val, "demand_lag_6"), 4, "model_mae", "naive_mae")
 
 
 @query("fallback_prediction", q.with_(q.FALLBACK, "SELECT respondent, target_date, prediction FROM scored"))
@@ -826,7 +964,8 @@ def _(spark, sf_dir):
 
 
 def _val_and_test(spark, sf_dir):
-    df = split_predicted(spark, sf_dir)
+    columns = ["split", "tier", "target", "prediction"]
+    df = cut_lineage(split_predicted(spark, sf_dir).filter("split <> 'train'").select(*columns))
     return (
         metrics.evaluate(df.filter("split = 'val'"), "prediction"),
         metrics.evaluate(df.filter("split = 'test'"), "prediction"),
@@ -911,19 +1050,30 @@ def _(spark, sf_dir):
 
 # ------------------------------------------------------------------ drift and monitoring
 
-DRIFT_NUMERIC = ["demand_t", "demand_lag_1", "demand_lag_6", "naive_persistence", "benchmark_forecast", "target"]
+DRIFT_NUMERIC = [*NUMERIC_FEATURES, "target", "prediction"]
 
 
 def _windows(spark, sf_dir):
     """Rows of both windows as a written table: drift reads them several times."""
-    return cut_lineage(splits.monitoring_windows(with_prediction(stored_features(spark, sf_dir))))
+    return cut_lineage(splits.monitoring_windows(with_prediction(rounded_features(stored_features(spark, sf_dir)))))
+
+
+MATRIX_WINDOWS = (
+    MATRIX
+    + """,
+bounds AS (SELECT MAX(target_date) - 30 AS split, MAX(target_date) - 120 AS start FROM matrix),
+windowed AS (
+  SELECT f.*, (demand_t + demand_lag_6) / 2 AS prediction, CASE WHEN target_date >= split THEN 'current' ELSE 'reference' END AS win
+  FROM matrix f, bounds WHERE target_date >= start
+)"""
+)
 
 
 LONG = "long_values AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, win, CAST({c} AS DOUBLE) AS value FROM windowed WHERE {c} IS NOT NULL" for c in DRIFT_NUMERIC
 ) + ")"
 ECDF = (
-    q.WINDOWS
+    MATRIX_WINDOWS
     + ","
     + LONG
     + """,
@@ -936,7 +1086,7 @@ curve AS (
 ),
 ks AS (
   SELECT feature, CAST(MAX(nr) AS BIGINT) AS n_reference, CAST(MAX(nc) AS BIGINT) AS n_current,
-         MAX(ABS(fr - fc)) AS d, COALESCE(SUM(ABS(fr - fc) * (next_value - value)), 0) AS w
+         MAX(ABS(fr - fc)) AS d, CASE WHEN MAX(nr) > 0 AND MAX(nc) > 0 THEN COALESCE(SUM(ABS(fr - fc) * (next_value - value)), 0) END AS w
   FROM curve GROUP BY feature
 ),
 spread AS (SELECT feature, STDDEV_POP(value) AS s FROM long_values WHERE win = 'reference' GROUP BY feature),
@@ -947,15 +1097,15 @@ scaled AS (
   FROM ks JOIN spread USING (feature)
 ),
 p AS (
-  SELECT l.*, CASE WHEN x < 0.2 THEN 1.0 ELSE GREATEST(0.0, LEAST(1.0,
+  SELECT l.*, CASE WHEN x IS NULL THEN NULL WHEN x < 0.2 THEN 1.0 ELSE GREATEST(0.0, LEAST(1.0,
            (SELECT SUM(CASE WHEN j % 2 = 1 THEN 2.0 ELSE -2.0 END * EXP(-2.0 * j * j * x * x)) FROM RANGE(1, 101) AS r(j)))) END AS p_value
   FROM scaled l
 ),
 numeric_drift AS (
-  SELECT feature, n_reference, n_current, d AS ks_statistic, p_value, w AS wasserstein, wn AS wasserstein_norm,
-         'ks' AS method, p_value AS score, coalesce(p_value < 0.05, false) AS ks_drifted,
+  SELECT feature, COALESCE(n_reference, 0) AS n_reference, COALESCE(n_current, 0) AS n_current, d AS ks_statistic, p_value,
+         w AS wasserstein, wn AS wasserstein_norm, 'ks' AS method, p_value AS score, coalesce(p_value < 0.05, false) AS ks_drifted,
          coalesce(wn >= 0.1, false) AS distance_drifted, coalesce(p_value < 0.05, false) AS drifted
-  FROM p
+  FROM (SELECT UNNEST([""" + ", ".join(f"'{c}'" for c in DRIFT_NUMERIC) + """]) AS feature) LEFT JOIN p USING (feature)
 )"""
 )
 
@@ -1016,7 +1166,6 @@ column_drift AS (
   UNION ALL SELECT feature, 'jensen_shannon', js_distance, js_distance >= 0.1 FROM categorical_drift WHERE feature = 'respondent'
 )"""
 )
-DRIFT_ALL = ["respondent", *DRIFT_NUMERIC]
 
 
 @query(
@@ -1029,7 +1178,8 @@ DRIFT_ALL = ["respondent", *DRIFT_NUMERIC]
     ),
 )
 def _(spark, sf_dir):
-    return drift.dataset_drift(drift.column_drift(_windows(spark, sf_dir), DRIFT_ALL))
+    df = _windows(spark, sf_dir)
+    return drift.dataset_drift(drift.column_drift(df, drift.drift_columns(df)))
 
 
 @query(
@@ -1037,25 +1187,26 @@ def _(spark, sf_dir):
     q.with_(DATASET, "SELECT feature, method, ROUND(score, 6) AS score, drifted FROM column_drift WHERE feature = 'target'"),
 )
 def _(spark, sf_dir):
-    columns = drift.column_drift(_windows(spark, sf_dir), DRIFT_ALL)
+    df = _windows(spark, sf_dir)
+    columns = drift.column_drift(df, drift.drift_columns(df))
     return rounded(drift.target_drift(columns), 6, "score")
 
 
 PROFILE = ["demand", "demand_forecast", "net_generation", "interchange"]
 
 
-def _profile_sql(column: str) -> str:
+def _profile_sql(column: str, source: str = "windowed") -> str:
     return f"""SELECT '{column}' AS feature, COUNT(*) AS rows, COUNT(*) - COUNT({column}) AS missing,
       ROUND(AVG({column}), 4) AS mean, ROUND(STDDEV_SAMP({column}), 2) AS std, COUNT(DISTINCT {column}) AS "distinct",
       MIN({column}) AS min, MAX({column}) AS max, QUANTILE_CONT({column}, 0.25) AS q25, QUANTILE_CONT({column}, 0.5) AS q50,
       QUANTILE_CONT({column}, 0.75) AS q75,
-      ROUND((SELECT MAX(n) FROM (SELECT COUNT(*) AS n FROM daily WHERE {column} IS NOT NULL GROUP BY {column})) / COUNT({column}), 8) AS top_share
-      FROM daily"""
+      ROUND((SELECT MAX(n) FROM (SELECT COUNT(*) AS n FROM {source} WHERE {column} IS NOT NULL GROUP BY {column})) / COUNT({column}), 8) AS top_share
+      FROM {source}"""
 
 
-@query("quality_profile", q.with_(q.DAILY, " UNION ALL ".join(_profile_sql(c) for c in PROFILE)))
+@query("quality_profile", q.with_(MATRIX_WINDOWS, " UNION ALL ".join(_profile_sql(c) for c in DRIFT_NUMERIC)))
 def _(spark, sf_dir):
-    out = drift.quality_profile(panel.reindex_daily(stored_wide(spark, sf_dir)), PROFILE)
+    out = drift.quality_profile(_windows(spark, sf_dir), DRIFT_NUMERIC)
     return rounded(rounded(rounded(out, 4, "mean"), 2, "std"), 8, "top_share")
 
 
@@ -1096,10 +1247,47 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    out = drift.drift_summary(_windows(spark, sf_dir), DRIFT_ALL, prediction="prediction")
+    df = _windows(spark, sf_dir)
+    out = drift.drift_summary(df, drift.drift_columns(df), prediction="prediction")
     return rounded(out, 4, "wmape_reference", "wmape_current")
 
 
+@query(
+    "repeated_keys",
+    """SELECT CAST(ts AS DATE) AS period, CAST(user_id AS VARCHAR) AS respondent, event_type AS type, COUNT(*) AS n
+       FROM events GROUP BY 1, 2, 3 HAVING COUNT(*) > 1""",
+)
+def _(spark, sf_dir):
+    return quality.repeated_keys(tables.event_observations(spark, sf_dir))
+
+
+TWO_LABELS = """
+WITH k AS (SELECT CAST(ts AS DATE) AS p, user_id AS r, event_type AS t, COUNT(*) AS n FROM events GROUP BY 1, 2, 3)"""
+
+
+@query(
+    "failed_validation",
+    TWO_LABELS
+    + """ SELECT 'duplicates' AS "check", 'ERROR' AS severity, CAST(SUM(n - 1) AS DOUBLE) AS number FROM k
+          UNION ALL SELECT 'timezone', 'ERROR', CAST(COUNT(DISTINCT CASE WHEN user_id % 2 = 0 THEN 'UTC' ELSE 'CET' END) AS DOUBLE) FROM events""",
+)
+def _(spark, sf_dir):
+    """Rows with repeated keys and two time zones: the errors of the gate."""
+    df = tables.event_observations(spark, sf_dir).withColumn(
+        "timezone", F.when(F.col("respondent").cast("long") % 2 == 0, "UTC").otherwise("CET")
+    )
+    findings = quality.validate(df, exclude_aggregates=False).findings.filter("check in ('duplicates', 'timezone')")
+    return findings.select("check", "severity", F.coalesce(F.col("details")["count"], F.col("details")["distinct"]).cast("double").alias("number"))
+
+
+@query("mixed_units", """SELECT 'units' AS "check", 'ERROR' AS severity, CAST(COUNT(DISTINCT event_type) AS DOUBLE) AS number FROM events""")
+def _(spark, sf_dir):
+    """Mixed units stop the gate: the only finding."""
+    df = tables.event_observations(spark, sf_dir).withColumn("value_units", F.col("type"))
+    findings = quality.validate(df).findings
+    return findings.select("check", "severity", F.col("details")["distinct"].cast("double").alias("number"))
+
+
 # ------------------------------------------------------------------ lookups
 
 
@@ -1218,7 +1406,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return rounded(explore.histogram(stored_wide(spark, sf_dir)), 4, "left_edge")
+    return rounded(explore.histogram(stored_wide(spark, sf_dir, "demand")), 4, "left_edge")
 
 
 RANKING = q.PANEL + ", ranking AS (SELECT respondent, AVG(demand) AS mean_demand FROM panel GROUP BY 1)"
@@ -1233,17 +1421,17 @@ RANKING = q.PANEL + ", ranking AS (SELECT respondent, AVG(demand) AS mean_demand
     ),
 )
 def _(spark, sf_dir):
-    return rounded(explore.both_ends(explore.demand_ranking(wide(spark, sf_dir)), "mean_demand"), 4, "mean_demand")
+    return rounded(explore.both_ends(explore.demand_ranking(wide(spark, sf_dir, "demand")), "mean_demand"), 4, "mean_demand")
 
 
 @query("size_ratio", q.with_(RANKING, "SELECT ROUND(MAX(mean_demand) / MIN(mean_demand), 6) AS ratio FROM ranking"))
 def _(spark, sf_dir):
-    return rounded(explore.size_ratio(explore.demand_ranking(wide(spark, sf_dir))), 6, "ratio")
+    return rounded(explore.size_ratio(explore.demand_ranking(wide(spark, sf_dir, "demand"))), 6, "ratio")
 
 
 @query("focus_series", q.with_(q.PANEL, f"SELECT respondent, period, demand FROM panel WHERE respondent IN ({FOCUS_SQL})"))
 def _(spark, sf_dir):
-    return explore.focus_series(wide(spark, sf_dir), FOCUS)
+    return explore.focus_series(wide(spark, sf_dir, "demand"), FOCUS)
 
 
 def _season_sql(part: str, expr: str) -> str:
@@ -1255,13 +1443,13 @@ def _season_sql(part: str, expr: str) -> str:
 
 @query("monthly_seasonality", _season_sql("month", "MONTH(period)"))
 def _(spark, sf_dir):
-    out = explore.seasonality(wide(spark, sf_dir), "month")
+    out = explore.seasonality(wide(spark, sf_dir, "demand"), "month")
     return rounded(rounded(out, 4, "mean_demand"), 6, "relative")
 
 
 @query("weekly_seasonality", _season_sql("dayofweek", "ISODOW(period) - 1"))
 def _(spark, sf_dir):
-    out = explore.seasonality(wide(spark, sf_dir), "dayofweek")
+    out = explore.seasonality(wide(spark, sf_dir, "demand"), "dayofweek")
     return rounded(rounded(out, 4, "mean_demand"), 6, "relative")
 
 
@@ -1278,7 +1466,7 @@ BENCH_MAPE = "AVG(ABS(demand - demand_forecast) / NULLIF(demand, 0) * 100)"
     ),
 )
 def _(spark, sf_dir):
-    return rounded(rounded(explore.benchmark_errors(wide(spark, sf_dir)), 4, "mae", "rmse"), 6, "mape")
+    return rounded(rounded(explore.benchmark_errors(wide(spark, sf_dir, "demand", "demand_forecast")), 4, "mae", "rmse"), 6, "mape")
 
 
 ENTITY_MAPE = q.PANEL + f", e AS (SELECT respondent, {BENCH_MAPE} AS mape, COUNT(*) AS n {BENCH_OK} GROUP BY 1)"
@@ -1305,7 +1493,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return rounded(explore.naive_mape_by_row(wide(spark, sf_dir)), 6, "mape")
+    return rounded(explore.naive_mape_by_row(wide(spark, sf_dir, "demand")), 6, "mape")
 
 
 @query(
@@ -1318,7 +1506,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return explore.panel_coverage(stored_wide(spark, sf_dir))
+    return explore.panel_coverage(stored_wide(spark, sf_dir, "demand"))
 
 
 @query(
@@ -1326,7 +1514,7 @@ def _(spark, sf_dir):
     q.with_(q.PANEL, "SELECT COUNT(*) AS rows, COUNT(DISTINCT respondent) AS respondents, MIN(period) AS first_day, MAX(period) AS last_day FROM panel"),
 )
 def _(spark, sf_dir):
-    return explore.overview(wide(spark, sf_dir))
+    return explore.overview(wide(spark, sf_dir, "demand"))
 
 
 @query(
@@ -1364,14 +1552,10 @@ def _(spark, sf_dir):
 
 # ------------------------------------------------------------------ fitted models (no SQL counterpart)
 
-SMALL_FIT = {"maxIter": 5, "maxDepth": 3}
-
-
 def _fitted(spark, sf_dir):
     """Split features as a written table, and the three fitted tiers."""
     df = cut_lineage(splits.split_time_series(stored_features(spark, sf_dir)))
-    fitted = models.train_all_tiers(df.filter("split = 'train'"), df.filter("split = 'val'"), params=SMALL_FIT)
-    return df, fitted
+    return df, models.train_all_tiers(df.filter("split = 'train'"), df.filter("split = 'val'"))
 
 
 @query("tier_model_metrics")
@@ -1383,9 +1567,11 @@ def _(spark, sf_dir):
 
 @query("walk_forward_search")
 def _(spark, sf_dir):
+    """Two trials per tier, every tier, three folds; the number of trials is the caller's."""
     df = cut_lineage(splits.train_and_validation(splits.split_time_series(stored_features(spark, sf_dir))))
-    candidates = models.random_candidates(2, seed=42, maxIter=3, maxDepth=3)
-    return models.walk_forward_search(df, "Large", candidates, n_splits=2)
+    candidates = models.random_candidates(2, seed=42)
+    trials = [models.walk_forward_search(df, tier, candidates) for tier in TIER_NAMES]
+    return reduce(DataFrame.unionByName, trials)
 
 
 @query("next_day_forecast")

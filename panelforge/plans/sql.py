@@ -202,14 +202,15 @@ split_features AS (
 FALLBACK = (
     SPLITS
     + """,
+by_lag AS (SELECT * REPLACE (demand_lag_6 AS prediction) FROM split_features),
 guard AS (
   SELECT tier, respondent, AVG(ABS(target - prediction)) AS model_mae, AVG(ABS(target - naive_persistence)) AS naive_mae
-  FROM split_features WHERE split = 'val' AND prediction IS NOT NULL AND naive_persistence IS NOT NULL
+  FROM by_lag WHERE split = 'val' AND prediction IS NOT NULL AND naive_persistence IS NOT NULL
   GROUP BY 1, 2
 ),
 scored AS (
   SELECT f.* REPLACE (CASE WHEN g.respondent IS NOT NULL THEN naive_persistence ELSE prediction END AS prediction)
-  FROM split_features f
+  FROM by_lag f
   LEFT JOIN (SELECT respondent FROM guard WHERE model_mae > naive_mae) g ON f.respondent = g.respondent
 )"""
 )
@@ -225,7 +226,7 @@ def metrics(truth: str, prediction: str) -> str:
     ROUND(CASE WHEN COUNT(*) {ok} = 0 THEN NULL WHEN COUNT(*) {ok} < 2 THEN 0.0
                WHEN VAR_POP({y}) {ok} > 0
                THEN 1 - SUM(({y} - {p}) * ({y} - {p})) {ok} / (COUNT(*) {ok} * VAR_POP({y}) {ok})
-               ELSE 0.0 END, 4) AS r2,
+               WHEN SUM(({y} - {p}) * ({y} - {p})) {ok} = 0 THEN 1.0 ELSE 0.0 END, 4) AS r2,
     COUNT(*) {ok} AS n_samples"""
 
 

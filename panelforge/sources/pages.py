@@ -71,20 +71,36 @@ def page_rows(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode("response.data").alias("row")).select("row.*")
 
 
-def page_audit(pages: DataFrame) -> DataFrame:
-    """Rows fetched against the row total the source reported, per entity.
+def page_audit(pages: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """Rows fetched against the row total the source reported: (respondent, page, fetched, reported, complete).
 
+    ``requests`` (page, respondent) tells whom each page was asked for: one row per requested entity then,
+    with 0 rows where its pages hold none or never landed.  Without it a page counts for the one entity that
+    all its rows name; a page without rows, or with rows of several entities, is a row of its own under
+    ``page``.  Pages with neither rows nor a total above 0 (facet lists) are left out unless they were requested.
     ``complete`` false is a warning: the source may publish while it is read.
     """
+    data = F.coalesce("response.data", F.array().cast(T.ArrayType(ROW_TYPE)))
+    names = F.array_distinct(F.transform(data, lambda r: r["respondent"]))
     per_page = pages.select(
-        F.get("response.data", F.lit(0))["respondent"].alias("respondent"),
-        F.size("response.data").alias("n"),
+        "page",
+        F.when(F.size(names) == 1, F.get(names, F.lit(0))).alias("_named"),
+        F.size(data).alias("n"),
         F.try_to_number(F.col("response.total"), F.lit("999999999999")).cast("long").alias("total"),
-    ).filter("respondent is not null")
+    )
+    if requests is None:
+        keyed = per_page.filter("n > 0 or total > 0").select(
+            F.col("_named").alias("respondent"), F.when(F.col("_named").isNull(), F.col("page")).alias("page"), "n", "total"
+        )
+    else:
+        asked = requests.select("page", "respondent").distinct()
+        keyed = asked.join(per_page, "page", "left").select(
+            "respondent", F.lit(None).cast("string").alias("page"), "n", "total"
+        )
     return (
-        per_page.groupBy("respondent")
-        .agg(F.sum("n").alias("fetched"), F.max("total").alias("reported"))
-        .withColumn("complete", F.col("fetched") == F.col("reported"))
+        keyed.groupBy("respondent", "page")
+        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("fetched"), F.max("total").alias("reported"))
+        .withColumn("complete", F.col("fetched").eqNullSafe(F.col("reported")))
     )
 
 

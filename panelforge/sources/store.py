@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
-from operator import or_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
@@ -13,6 +11,7 @@ from pyspark.sql import types as T
 
 from panelforge.operators.ingest import keep_latest
 from panelforge.schema import KEY, RAW_COLUMNS, RAW_SCHEMA, with_nulls_for_nan
+from panelforge.session import cut_lineage
 
 GRAINS = {"year": ["year"], "month": ["year", "month"]}
 
@@ -21,19 +20,25 @@ def _partition_value(name: str) -> Column:
     return {"year": F.year, "month": F.month}[name]("period")
 
 
-def store_exists(spark: SparkSession, path: str) -> bool:
+def _folder_exists(spark: SparkSession, path: str) -> bool:
     try:
-        return bool(spark.read.schema(RAW_SCHEMA).parquet(path).inputFiles())
+        spark.read.schema(RAW_SCHEMA).parquet(path)
     except AnalysisException:
         return False
+    return True
+
+
+def store_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the store holds a row; at most one is read."""
+    return _folder_exists(spark, path) and not read_store(spark, path).select("year").isEmpty()
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """Every partition of the store, with its partition columns."""
+def read_store(spark: SparkSession, path: str, folders: list[str] | None = None) -> DataFrame:
+    """Every partition of the store, or those in ``folders``, with the partition columns."""
     # A month column, where the store has one, is found by partition discovery.
     schema = T.StructType(RAW_SCHEMA.fields + [T.StructField("year", T.IntegerType())])
     try:
-        df = spark.read.schema(schema).option("basePath", path).parquet(path)
+        df = spark.read.schema(schema).option("basePath", path).parquet(*(folders or [path]))
     except AnalysisException as error:
         raise FileNotFoundError(f"no raw store at {path}") from error
     return with_nulls_for_nan(df, ["value"])
@@ -74,23 +79,54 @@ def scan_store(
     return df
 
 
-def _in_partitions(touched: list[Row]) -> Column:
-    """A predicate on the partition columns alone, so that other partitions are not listed or read."""
-    months: dict[int, list[int]] = {}
-    for row in touched:
-        months.setdefault(row["year"], []).extend([row["month"]] if "month" in row else [])
-    if not any(months.values()):
-        return F.col("year").isin(list(months))
-    return reduce(or_, [(F.col("year") == y) & F.col("month").isin(ms) for y, ms in months.items()])
+def _stored_folders(spark: SparkSession, path: str, columns: list[str], touched: list[Row]) -> list[str]:
+    """Folders of the touched partitions that the store has; no other folder is listed."""
+    folders = ["/".join([path, *[f"{c}={row[c]}" for c in columns]]) for row in touched]
+    return [folder for folder in folders if _folder_exists(spark, folder)]
+
+
+def _replace_partitions(rows: DataFrame, path: str, columns: list[str]) -> None:
+    (
+        rows.hint("rebalance", *columns)
+        .sortWithinPartitions(*columns, "respondent", "type", "period")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "snappy")
+        .partitionBy(*columns)
+        .parquet(path)
+    )
+
+
+def _mark(spark: SparkSession, path: str, rows: int) -> None:
+    spark.createDataFrame([(rows,)], "rows long").write.mode("overwrite").json(f"{path}.staged_rows")
+
+
+def _finish_replacement(spark: SparkSession, path: str) -> None:
+    """Replace the partitions whose staged rows are complete; also what an interrupted upsert left to do."""
+    if not _folder_exists(spark, f"{path}.staged_rows"):
+        return
+    mark = spark.read.schema("rows long").json(f"{path}.staged_rows").first()
+    if mark is None or not mark["rows"]:
+        return
+    staged = spark.read.parquet(f"{path}.staged")
+    if staged.count() != mark["rows"]:
+        raise RuntimeError(f"{path}.staged does not hold the {mark['rows']} rows that were staged")
+    _replace_partitions(staged, path, [c for c in GRAINS["month"] if c in staged.columns])
+    _mark(spark, path, 0)
 
 
 def upsert(df: DataFrame, path: str, grain: str = "year") -> int:
     """Merge ``df`` into the store; the newest copy of a key wins.
 
-    Only the partitions that ``df`` touches are read and rewritten.  Their
-    values are collected to prune the read: at most one per calendar year (or
-    month).  Rows without a period have no partition and are dropped.  On equal
-    ``_ingested_at`` the incoming row wins over the stored one.
+    Only the partitions that ``df`` touches are listed, read and rewritten.
+    Their values are collected to prune the read: at most one per calendar year
+    (or month).  Rows without a period have no partition and are dropped.  On
+    equal ``_ingested_at`` the incoming row wins over the stored one.
+
+    ``df`` is evaluated once, into a table.  The merged rows are staged beside
+    the store, counted, and only then replace the old partitions.  An upsert
+    that stops between the two is finished by the next one, so no partition is
+    lost.  One writer at a time.
 
     Rows are rebalanced by partition, so that adaptive execution splits a heavy
     year over many tasks, and sorted by key inside each file, so that filters
@@ -99,30 +135,28 @@ def upsert(df: DataFrame, path: str, grain: str = "year") -> int:
     """
     spark = df.sparkSession
     columns = GRAINS[grain]
+    _finish_replacement(spark, path)
     incoming = df.select(*RAW_COLUMNS).filter("period is not null")
-    incoming = incoming.withColumns({name: _partition_value(name) for name in columns})
+    incoming = cut_lineage(incoming.withColumns({name: _partition_value(name) for name in columns}))
     touched = incoming.select(*columns).distinct().collect()
     if not touched:
         return 0
 
     merged = incoming.withColumn("_incoming", F.lit(1))
-    if store_exists(spark, path):
-        stored = read_store(spark, path).filter(_in_partitions(touched))
-        stored = stored.select(*RAW_COLUMNS, *columns).withColumn("_incoming", F.lit(0))
-        merged = stored.unionByName(merged)
+    folders = _stored_folders(spark, path, columns, touched)
+    if folders:
+        stored = read_store(spark, path, folders).withColumns({name: _partition_value(name) for name in columns})
+        merged = stored.select(*RAW_COLUMNS, *columns).withColumn("_incoming", F.lit(0)).unionByName(merged)
 
     written = Observation()
     (
         keep_latest(merged, KEY + columns, order=["_ingested_at", "_incoming"])
-        .drop("_incoming")
         .select(*RAW_COLUMNS, *columns)
-        .hint("rebalance", *columns)
-        .sortWithinPartitions(*columns, "respondent", "type", "period")
         .observe(written, F.count(F.lit(1)).alias("rows"))
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("compression", "snappy")
-        .partitionBy(*columns)
-        .parquet(path)
+        .parquet(f"{path}.staged")
     )
-    return int(written.get["rows"])
+    rows = int(written.get["rows"])
+    _mark(spark, path, rows)
+    _finish_replacement(spark, path)
+    return rows

@@ -29,9 +29,11 @@ def _hundredths(name: str):
     return F.floor(F.col(name) * 100 + 0.5)
 
 
-def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def supplier_panel(spark: SparkSession, sf_dir: str, series: list[str] | None = None) -> DataFrame:
     """Wide daily panel per supplier nation: demand, forecast, generation, interchange.
 
+    ``series`` names the series to build; the part table is joined for the forecast alone.
+
     Sums per (day, nation) are combined map-side, so a nation with a third of
     all rows sends one row per day and map task.  No join is hinted: Spark
     broadcasts a table only while its measured size allows and otherwise sorts
@@ -51,26 +53,27 @@ def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", _hundredths("p_retailprice").alias("retail"))
 
     signed = F.when(F.col("l_returnflag") == "R", -F.col("price")).otherwise(F.col("price"))
+    wanted = list(SERIES.values()) if series is None else series
+    sums = {
+        "D": (F.sum("price"), 100),
+        "DF": (F.sum(F.col("quantity") * F.col("retail")), 10000),
+        "NG": (F.sum(F.col("price") * (100 - F.col("discount"))), 10000),
+        "TI": (F.sum(signed), 100),
+    }
+    codes = [code for code, name in SERIES.items() if name in wanted]
+    if "DF" in codes:
+        lines = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
     return (
-        lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+        lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
         .groupBy("period", "s_nationkey")
-        .agg(
-            F.sum("price").alias("D"),
-            F.sum(F.col("quantity") * F.col("retail")).alias("DF"),
-            F.sum(F.col("price") * (100 - F.col("discount"))).alias("NG"),
-            F.sum(signed).alias("TI"),
-        )
+        .agg(*[sums[code][0].alias(code) for code in codes])
         .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
         .select(
             "period",
             F.col("n_name").alias("respondent"),
             F.col("n_nationkey").alias("nationkey"),
             F.col("n_regionkey").alias("regionkey"),
-            F.round(F.col("D") / 100).alias(SERIES["D"]),
-            F.round(F.col("DF") / 10000).alias(SERIES["DF"]),
-            F.round(F.col("NG") / 10000).alias(SERIES["NG"]),
-            F.round(F.col("TI") / 100).alias(SERIES["TI"]),
+            *[F.round(F.col(code) / sums[code][1]).alias(SERIES[code]) for code in codes],
         )
     )
 

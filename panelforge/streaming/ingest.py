@@ -12,6 +12,7 @@ from panelforge.sources.pages import PAGE_SCHEMA, checked_pages, normalise_rows,
 from panelforge.sources.store import upsert
 
 LOOKBACK = "7 days"
+REVISION = [*KEY, "value", "_ingested_at"]
 
 
 def stream_pages(
@@ -39,11 +40,10 @@ def stream_observations(
     return reader.parquet(path)
 
 
-def drop_repeats(df: DataFrame, key: list[str] = KEY, time: str = "period", lookback: str = LOOKBACK) -> DataFrame:
+def drop_repeats(df: DataFrame, key: list[str] = REVISION, time: str = "period", lookback: str = LOOKBACK) -> DataFrame:
     """First copy of each key among rows no older than ``lookback``.
 
-    With the default key a later revision of a row is dropped as a repeat: before an upsert
-    pass ``[*KEY, "value"]``, so that revisions go on.
+    The default key holds value and ingest time, so that a revision of a row is no repeat and goes on.
     Event time must be a timestamp with zone, so a day becomes its midnight.
     State is kept for the lookback only.
     """
@@ -61,12 +61,7 @@ def upsert_stream(
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        # The upsert reads its input twice: for the touched partitions and for the merge.
-        batch.persist()
-        try:
-            upsert(batch, store, grain)
-        finally:
-            batch.unpersist()
+        upsert(batch, store, grain)
 
     writer = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -91,6 +91,14 @@ def test_page_audit_and_facets(spark, tmp_path):
     df = pages.read_pages(spark, str(tmp_path))
     audit = {r["respondent"]: (r["fetched"], r["reported"], r["complete"]) for r in pages.page_audit(df).collect()}
     assert audit == {"AA": (3, 3, True), "BB": (1, 5, False)}
+    write_page(tmp_path, "c1.json", [], total=5)
+    df = pages.read_pages(spark, str(tmp_path))
+    lost = pages.page_audit(df).filter("respondent is null").collect()
+    assert [(os.path.basename(r["page"]), r["fetched"], r["reported"], r["complete"]) for r in lost] == [("c1.json", 0, 5, False)]
+    base = df.filter("page like '%c1.json'").first()["page"]
+    asked = spark.createDataFrame([(base, "CC"), ("never landed", "DD")], "page string, respondent string")
+    audit = {r["respondent"]: (r["fetched"], r["reported"], r["complete"]) for r in pages.page_audit(df, asked).collect()}
+    assert audit == {"CC": (0, 5, False), "DD": (0, None, False)}
     assert sorted(r[0] for r in pages.facet_ids(df).collect()) == ["AA", "BB"]
 
 
@@ -122,12 +130,32 @@ def test_upsert_leaves_other_years_alone(spark, tmp_path):
     assert store.upsert(raw(spark, (None, "AA", "D", 3.0, 1)), path) == 0
 
 
+def test_interrupted_replacement_is_finished(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    store.upsert(raw(spark, ("2023-05-01", "AA", "D", 1.0, 0)), path)
+
+    def stop(*_):
+        raise RuntimeError("executor lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(store, "_replace_partitions", stop)
+        with pytest.raises(RuntimeError, match="executor lost"):
+            store.upsert(raw(spark, ("2023-05-02", "AA", "D", 2.0, 1)), path)
+    assert keyed(store.read_store(spark, path)) == {("2023-05-01", "AA", "D"): 1.0}
+    store.upsert(raw(spark, ("2023-05-03", "AA", "D", 3.0, 2)), path)
+    assert keyed(store.read_store(spark, path)) == {
+        ("2023-05-01", "AA", "D"): 1.0, ("2023-05-02", "AA", "D"): 2.0, ("2023-05-03", "AA", "D"): 3.0,
+    }
+
+
 def test_month_grain(spark, tmp_path):
     path = str(tmp_path / "store")
     store.upsert(raw(spark, ("2023-05-01", "AA", "D", 1.0, 0), ("2023-06-01", "AA", "D", 2.0, 0)), path, grain="month")
     before = os.listdir(f"{path}/year=2023/month=5")
-    pruned = store.read_store(spark, path).filter(store._in_partitions([Row(year=2023, month=6)]))
-    assert len(pruned.select("_metadata.file_path").distinct().collect()) == 1
+    touched = [Row(year=2023, month=6), Row(year=2023, month=9)]
+    folders = store._stored_folders(spark, path, ["year", "month"], touched)
+    assert folders == [f"{path}/year=2023/month=6"]
+    assert keyed(store.read_store(spark, path, folders)) == {("2023-06-01", "AA", "D"): 2.0}
     store.upsert(raw(spark, ("2023-06-01", "AA", "D", 7.0, 1), ("2023-06-02", "AA", "D", 3.0, 1)), path, grain="month")
     assert os.listdir(f"{path}/year=2023/month=5") == before
     assert keyed(store.read_store(spark, path)) == {
