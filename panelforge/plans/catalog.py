@@ -1081,7 +1081,7 @@ counts AS (SELECT feature, value, COUNT(*) FILTER (WHERE win = 'reference') AS r
            FROM long_values GROUP BY 1, 2),
 curve AS (
   SELECT feature, value, LEAD(value) OVER w AS next_value,
-         SUM(r) OVER w / SUM(r) OVER f AS fr, SUM(c) OVER w / SUM(c) OVER f AS fc, SUM(r) OVER f AS nr, SUM(c) OVER f AS nc
+         SUM(r) OVER w / NULLIF(SUM(r) OVER f, 0) AS fr, SUM(c) OVER w / NULLIF(SUM(c) OVER f, 0) AS fc, SUM(r) OVER f AS nr, SUM(c) OVER f AS nc
   FROM counts WINDOW w AS (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY feature)
 ),
 ks AS (
