@@ -8,7 +8,7 @@ join into maximal repeats, none shorter than ``length`` words.  The earliest occ
 later one go.
 
 Documents with the same words as an earlier one are settled whole beforehand.  A window's occurrences are reduced to the
-earliest per part of a batch before they are shuffled, so a passage in a third of all documents is one row per part and word, and
+earliest of a task before they are shuffled, so a passage in a third of all documents is a few rows per task and word, and
 no pairs of documents are formed.
 """
 
@@ -135,10 +135,51 @@ def _seed(length: int, k: int):
     return seed
 
 
-def _extend(length: int):
-    """Rows of windows with a seed: the earliest of each digest in a part; the others as one list per document, ``lost``."""
+class Earliest:
+    """The earliest place of window digests that a task has sent on, for the parts that follow.
+
+    At most ``limit`` digests are remembered, first of all those that have come again.  What is forgotten is sent on again
+    and settled after the shuffle, so the limit bounds memory and decides nothing.
+    """
+
+    def __init__(self, limit: int = 1 << 20):
+        self.limit = limit
+        self.one, self.two = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.starts, self.again = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
+
+    def later(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Which of these windows (sorted by digest) lie behind a remembered place; the others are remembered.
+
+        Windows of one digest have one place.  Of digests that share their first half one is remembered.
+        """
+        if not len(one):
+            return np.zeros(0, bool)
+        at = np.searchsorted(self.one, one)
+        near = np.minimum(at, max(0, len(self.one) - 1))
+        taken = self.one[near] == one if len(self.one) else np.zeros(len(one), bool)
+        known = np.flatnonzero(taken & (self.two[near] == two)) if len(self.one) else np.zeros(0, np.int64)
+        here = near[known]
+        later = (ids[known] > self.ids[here]) | (ids[known] == self.ids[here]) & (start[known] > self.starts[here])
+        self.again[here] = True
+        self.ids[here[~later]], self.starts[here[~later]] = ids[known[~later]], start[known[~later]]
+        behind = np.zeros(len(one), bool)
+        behind[known[later]] = True
+        fresh = np.flatnonzero(~taken & np.r_[True, one[1:] != one[:-1]])
+        self.one, self.two = np.insert(self.one, at[fresh], one[fresh]), np.insert(self.two, at[fresh], two[fresh])
+        self.ids, self.starts = np.insert(self.ids, at[fresh], ids[fresh]), np.insert(self.starts, at[fresh], start[fresh])
+        self.again = np.insert(self.again, at[fresh], False)
+        if len(self.one) > self.limit:
+            held = np.flatnonzero(self.again)[: self.limit // 2]
+            self.one, self.two, self.ids, self.starts = self.one[held], self.two[held], self.ids[held], self.starts[held]
+            self.again = np.zeros(len(held), bool)
+        return behind
+
+
+def _extend(length: int, limit: int = 1 << 20):
+    """Rows of windows with a seed: the earliest of each digest in a task; the others as one list per document, ``lost``."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = Earliest(limit)
         for part in slices(batches, "text", 4 << 20, 2048):
             one, two, where, start = [], [], [], []
             for i, (text, runs) in enumerate(zip(part.column("text").to_pylist(), part.column("runs").to_pylist())):
@@ -159,6 +200,8 @@ def _extend(length: int):
             head = np.maximum.accumulate(np.where(first, np.arange(len(one)), 0))
             # The same place of a repeated row is not an earlier place.
             first |= (ids == ids[head]) & (start == start[head])
+            heads = np.flatnonzero(first)
+            first[heads[sent.later(one[heads], two[heads], ids[heads], start[heads])]] = False
             later = np.flatnonzero(~first)
             later = later[np.lexsort((start[later], where[later]))]
             losers, begins = np.unique(where[later], return_index=True)

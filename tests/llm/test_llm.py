@@ -514,6 +514,28 @@ def test_repeated_windows(spark, length, k):
     assert substring_dedup.repeat_report(docs.filter("false")).count() == 0
 
 
+@given(st.lists(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 1), st.integers(0, 9)), max_size=12), max_size=6), st.integers(2, 40))
+def test_earliest_of_a_task(parts, limit):
+    """Whatever the limit: a window is dropped only behind an earlier one that went on, so the earliest of each digest goes on."""
+    sent, went = substring_dedup.Earliest(limit), {}
+    for part in parts:
+        least = {}
+        for one, two, place in part:
+            least[one, two] = min(place, least.get((one, two), place))
+        keys = sorted(least)
+        columns = [np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int32)]
+        places = np.array([least[k] for k in keys], np.int64)
+        behind = sent.later(*columns, places // 3, (places % 3).astype(np.int32))
+        for key, gone in zip(keys, behind):
+            if gone:
+                assert min(went[key]) < least[key]
+            else:
+                went.setdefault(key, []).append(least[key])
+        assert len(sent.one) <= limit
+    for key in {(one, two) for part in parts for one, two, _ in part}:
+        assert min(went[key]) == min(p for part in parts for one, two, p in part if (one, two) == key)
+
+
 # ---------------------------------------------------------------- pipeline
 
 
