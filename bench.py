@@ -56,6 +56,8 @@ def main() -> None:
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.sql.shuffle.partitions": cpus,
+            # Small tables on one machine: window frames cost much time per byte.
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
             "spark.driver.memory": "16g",
         },
     )

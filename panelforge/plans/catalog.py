@@ -30,6 +30,7 @@ from panelforge.schema import NUMERIC_FEATURES, SERIES, TIER_NAMES
 from panelforge.session import checkpoint_dir, cut_lineage
 from panelforge.sources import pages, sinks, store, tables
 from panelforge.sources.ingest_job import ingest_landed
+from panelforge.streaming.ingest import append_stream, drop_repeats, stream_observations, stream_pages, upsert_stream
 from panelforge.streaming.rollups import daily_quality, daily_rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -430,6 +431,18 @@ def _(spark, sf_dir):
     return panel.to_wide(rows, {"O": "open_value", "F": "filled_value", "P": "pending_value"})
 
 
+@query(
+    "missing_series",
+    q.with_(
+        q.PANEL,
+        """SELECT period, respondent, demand, CAST(NULL AS DOUBLE) AS demand_forecast, CAST(NULL AS DOUBLE) AS net_generation,
+                  CAST(NULL AS DOUBLE) AS interchange FROM panel WHERE demand IS NOT NULL""",
+    ),
+)
+def _(spark, sf_dir):
+    return panel.with_missing_series(wide(spark, sf_dir, "demand"))
+
+
 @query("wide_panel", q.with_(q.PANEL, "SELECT period, respondent, demand, demand_forecast, net_generation, interchange FROM panel"))
 def _(spark, sf_dir):
     return panel.to_wide(observations(spark, sf_dir))
@@ -579,6 +592,15 @@ def _(spark, sf_dir):
     return _selected(spark, sf_dir).filter("selection = 'keep'").select("respondent")
 
 
+@query("approved_entities", q.with_(q.COVERAGE, "SELECT respondent FROM coverage WHERE role <> 'aggregate' AND coverage_pct >= 50"))
+def _(spark, sf_dir):
+    """The gate's result saved, its approved entities read back."""
+    path = _scratch(spark, "validation")
+    regions = tables.table(spark, sf_dir, "region").select(F.col("r_name").alias("respondent"))
+    sinks.save_validation(quality.validate(region_observations(spark, sf_dir), MIN_COVERAGE, aggregates=regions), path)
+    return sinks.read_approved(spark, path)
+
+
 @query(
     "low_coverage",
     q.with_(
@@ -1550,6 +1572,64 @@ def _(spark, sf_dir):
     return daily_quality(events, target="view", negative_allowed=[])
 
 
+# ------------------------------------------------------------------ streams, run over all that has landed and read back
+
+
+def _event_stream(spark, sf_dir):
+    events = tables.table(spark, sf_dir, "events")
+    # A pattern, since a stream takes a plain path for a folder.
+    stream = stream_observations(spark, f"{sf_dir}/events[.]parquet", events.schema)
+    return stream.withColumn("event_ts", F.col("ts").cast("timestamp"))
+
+
+def _streamed(spark, stream):
+    path = _scratch(spark, "stream")
+    append_stream(stream, path, _scratch(spark, "stream-state")).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+#: A day is closed, and emitted, when it ends two days before the newest event.
+CLOSED = "WHERE CAST(ts AS DATE) + INTERVAL 3 DAY <= (SELECT MAX(ts) FROM events)"
+
+
+@query(
+    "stream_daily_rollup",
+    f"{DAY_TYPE}, COUNT(*) AS n, ROUND(SUM(CAST(value AS DECIMAL(18,2))), 2) AS total FROM events {CLOSED} GROUP BY 1, 2",
+)
+def _(spark, sf_dir):
+    out = _streamed(spark, daily_rollup(_event_stream(spark, sf_dir).withColumnRenamed("event_type", "respondent"), "2 days"))
+    return out.select("day", "respondent", "n", F.col("total").cast("decimal(38,2)").alias("total"))
+
+
+@query(
+    "stream_daily_quality",
+    f"""SELECT CAST(ts AS DATE) AS day, COUNT(*) AS n, COUNT(*) FILTER (WHERE value IS NULL) AS missing,
+               COUNT(*) FILTER (WHERE value < 0) AS negatives, COUNT(*) FILTER (WHERE value = 0 AND event_type = 'view') AS zeros
+        FROM events {CLOSED} GROUP BY 1""",
+)
+def _(spark, sf_dir):
+    stream = _event_stream(spark, sf_dir).withColumnRenamed("event_type", "type")
+    return _streamed(spark, daily_quality(stream, "2 days", target="view", negative_allowed=[]))
+
+
+@query("stream_repeats", "SELECT DISTINCT CAST(ts AS DATE) AS day, user_id, event_type FROM events")
+def _(spark, sf_dir):
+    """One row per user, day and kind of event."""
+    keyed = _event_stream(spark, sf_dir).withColumn("day", F.to_date("event_ts"))
+    out = _streamed(spark, drop_repeats(keyed, ["day", "user_id", "event_type"], time="day"))
+    return out.select("day", "user_id", "event_type")
+
+
+@query(
+    "stream_upsert",
+    q.with_(LANDED, "SELECT period, respondent, 'D' AS type, value FROM landed WHERE NOT lost"),
+)
+def _(spark, sf_dir):
+    path = _scratch(spark, "store")
+    upsert_stream(stream_pages(spark, _landing(spark, sf_dir), "pages"), path, _scratch(spark, "stream-state")).awaitTermination()
+    return store.read_store(spark, path).select("period", "respondent", "type", "value")
+
+
 # ------------------------------------------------------------------ fitted models (no SQL counterpart)
 
 def _fitted(spark, sf_dir):
