@@ -1,19 +1,18 @@
 """Main text of web pages, with site templates removed.
 
 Every page is read into a tree.  Elements that hold no article text by their tag, role or class go.  What a site repeats goes too:
-the subtrees of each page are hashed, Spark counts the pages per host and hash, and subtrees that recur on many pages
-of their host are deleted.  Article and main elements, and the plain paragraphs inside them, are never taken for
+the subtrees of each page are hashed, Spark counts the different pages per host and hash, and subtrees that recur on many of
+them are deleted.  Article and main elements, and the plain paragraphs inside them, are never taken for
 template: a passage that many articles quote stays.
 
-Counts are combined per Arrow batch before the shuffle, so a host with a third of all pages sends one row per distinct subtree
-and batch; pages themselves are joined to their host's few template hashes and do not move while those fit a broadcast.
+What moves of a page for the counts is its hash and those of its subtrees; pages are grouped by host and page hash, so copies of a page
+are one and a host with a third of all pages is many groups.  Pages themselves are joined to their host's few template hashes and do not move while those fit a broadcast.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -163,20 +162,31 @@ def nodes(root: Node) -> Iterator[tuple[Node, bool]]:
         todo += [(c, inside) for c in reversed(node.children) if isinstance(c, Node)]
 
 
-def subtree_hash(page: str, node: Node) -> int:
-    """Signed 64-bit hash of the subtree's markup, white space made alike."""
+def markup_hash(markup: str) -> int:
+    """Signed 64-bit hash of markup, white space made alike."""
     from xxhash import xxh64_intdigest
 
-    value = xxh64_intdigest(" ".join(page[node.start : node.end].split()).encode("utf-8", "surrogatepass"))
+    value = xxh64_intdigest(" ".join(markup.split()).encode("utf-8", "surrogatepass"))
     return value - (1 << 64) if value >> 63 else value
 
 
+def subtree_hash(page: str, node: Node) -> int:
+    return markup_hash(page[node.start : node.end])
+
+
 def may_be_template(node: Node, inside: bool) -> bool:
     if node.tag in NEVER_TEMPLATE or node.tag in VOID:
         return False
     return not inside or node.tag in BLOCKS and node.tag not in PROSE
 
 
+def page_key(page: str) -> bytes:
+    """128-bit hash of the page, white space made alike."""
+    from xxhash import xxh3_128_digest
+
+    return xxh3_128_digest(" ".join(page.split()).encode("utf-8", "surrogatepass"))
+
+
 def subtree_hashes(page: str) -> set[int]:
     """Hashes of the subtrees of a page that could be template and that tag or class do not already remove."""
     found, skip = set(), -1
@@ -240,31 +250,35 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
     return "\n\n".join(blocks)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages per host and subtree of each batch; hash null counts the pages of the host."""
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each different page of a host in a part of a batch, with its subtrees."""
     for part in slices(batches, "_html"):
-        counts: Counter = Counter()
+        found: dict = {}
         for name, page in zip(part.column("_host").to_pylist(), part.column("_html").to_pylist()):
-            counts[name, None] += 1
-            counts.update((name, h) for h in subtree_hashes(page))
-        keys = list(counts)
+            key = name, page_key(page)
+            if key not in found:
+                found[key] = list(subtree_hashes(page))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array(list(counts.values()), pa.int64())],
-            ["host", "hash", "pages"],
+            [
+                pa.array([k[0] for k in found], pa.string()),
+                pa.array([k[1] for k in found], pa.binary()),
+                pa.array(list(found.values()), pa.list_(pa.int64())),
+            ],
+            ["host", "page", "subtrees"],
         )
 
 
 def site_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.3) -> DataFrame:
-    """``host`` and ``hashes``: subtrees on at least ``min_pages`` pages and ``min_share`` of all pages of their host.
+    """``host`` and ``hashes``: subtrees on at least ``min_pages`` different pages and ``min_share`` of the different pages of their host.
 
-    By the share, a host has no more of them than a few times the elements of one of its pages.
+    Copies of a page are one page.  By the share, a host has no more of them than a few times the elements of one of its pages.
     """
     rows = pages.select(host(F.col("url")).alias("_host"), filled("html").alias("_html"))
-    counts = cut_lineage(
-        rows.mapInArrow(_count, "host string, hash long, pages long").groupBy("host", "hash").agg(F.sum("pages").alias("pages"))
-    )
-    total = counts.filter("hash is null").select("host", F.col("pages").alias("all_pages"))
-    often = counts.filter((F.col("hash").isNotNull()) & (F.col("pages") >= min_pages)).join(total, "host")
+    found = rows.mapInArrow(_subtrees, "host string, page binary, subtrees array<long>")
+    different = cut_lineage(found.groupBy("host", "page").agg(F.first("subtrees").alias("subtrees")))
+    total = different.groupBy("host").agg(F.count(F.lit(1)).alias("all_pages"))
+    counts = different.select("host", F.explode("subtrees").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("pages"))
+    often = counts.filter(F.col("pages") >= min_pages).join(total, "host")
     often = often.filter(F.col("pages") >= min_share * F.col("all_pages"))
     return often.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
 
@@ -281,7 +295,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.3) -> DataFrame:
     """``page_id``, ``url``, ``text`` of every page; null or empty html gives an empty text, a null url is the host ''.
 
-    Repeated rows count as pages each; an empty table gives no rows; other columns are not read.
+    Copies of a page count once for the templates of its host; an empty table gives no rows; other columns are not read.
     """
     templates = cut_lineage(site_templates(pages, min_pages, min_share))
     rows = pages.select(

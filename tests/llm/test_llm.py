@@ -397,6 +397,17 @@ def test_templates_of_a_site_go(spark):
     assert html_main.extract(pages).count() == len(rows) + 1 and html_main.extract(pages.filter("false")).count() == 0
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    """One page under five query strings keeps its text; a block of five different pages still goes."""
+    copied = "<body><article><div><p>Only text</p></div></article></body>"
+    rows = [(i, f"http://c.org/a?{i}", copied) for i in range(5)]
+    rows += [(5 + i, f"http://d.org/{i}", f"<article><p>Text {i}</p><div>Follow us</div></article>") for i in range(5)]
+    rows += [(10 + i, f"http://d.org/9?{i}", copied) for i in range(9)]
+    got = {r.page_id: r.text for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in [*range(5), *range(10, 19)]} == {"Only text"}
+    assert [got[5 + i] for i in range(5)] == [f"Text {i}" for i in range(5)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab <>&;\"'é\n", max_size=20), max_size=6))
 def test_escaped_paragraphs_come_back(texts):
