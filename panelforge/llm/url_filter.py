@@ -7,13 +7,15 @@ shorter.  A url's score is the mean over its characters of the difference of log
 context for which the training urls have the character.  The threshold is calibrated on training urls that the models
 have not seen.
 
-All of it is DataFrame operations.  N-grams are counted and smoothed exactly in Spark; the finished table of differences is
-folded into ``2 ** slot_bits`` hash slots per order, which bounds its size whatever the number of urls, so scoring
-looks up a table of proven size and moves only one row per url and task.
+All of it is DataFrame operations.  N-grams are counted and smoothed exactly in Spark.  Scoring looks up each distinct gram of
+the urls once in the tables of the models, then joins the characters of the urls with what was found, gram by gram; nothing is
+folded, so a gram never seen in training falls back to a shorter context whatever the number of urls.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,32 +93,46 @@ def _models(training: DataFrame, order: int, smoothing: float) -> list[DataFrame
     return out
 
 
-def _slot(gram: Column, slot_bits: int) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(1 << slot_bits))
-
+def slot_tables(training: DataFrame, order: int = ORDER, smoothing: float = 2.0, slot_bits: int | None = None) -> list[DataFrame]:
+    """Per order ``gram`` and ``gain``, every gram of the training urls by itself; ``slot_bits`` stays for callers and folds nothing."""
+    return [m.select("gram", "gain") for m in _models(training, order, smoothing)]
 
-def slot_tables(training: DataFrame, order: int = ORDER, smoothing: float = 2.0, slot_bits: int = 14) -> list[DataFrame]:
-    """Per order ``slot`` and ``gain``, at most ``2 ** slot_bits`` rows: the mean gain of the grams in the slot, by count."""
-    return [
-        cut_lineage(
-            m.groupBy(_slot(F.col("gram"), slot_bits).alias("slot")).agg(
-                (F.sum(F.col("gain") * F.col("count")) / F.sum("count")).alias("gain")
-            )
-        )
-        for m in _models(training, order, smoothing)
-    ]
 
+def gains(asked: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """``gram`` and ``gain`` of the distinct grams of ``asked``, each at the longest context the tables know; unknown ones are left out.
 
-def scores(urls: DataFrame, tables: list[DataFrame], slot_bits: int = 14) -> DataFrame:
-    """``_key`` and ``score`` per row of ``urls`` (``_key``, ``_text``); texts without characters have no row."""
+    An order is asked only for what no longer one knows, so the few short grams meet few rows.
+    """
     order = len(tables)
-    found = urls.select("_key", F.explode(grams(F.col("_text"), order)).alias("gram"))
-    for size, known in enumerate(tables, 1):
-        # At most 2 ** slot_bits rows of two numbers.
-        known = F.broadcast(known.select(F.col("slot").alias(f"s{size}"), F.col("gain").alias(f"g{size}")))
-        found = found.join(known, _slot(F.expr(f"right(gram, {size})"), slot_bits) == F.col(f"s{size}"), "left")
-    gain = F.coalesce(*(F.col(f"g{size}") for size in range(order, 0, -1)), F.lit(0.0))
-    return found.groupBy("_key").agg(F.avg(gain).alias("score"))
+    known, rest = [], asked.select("gram").distinct()
+    for size in range(order, 0, -1):
+        table = tables[size - 1].select(F.col("gram").alias("short"), "gain")
+        met = cut_lineage(rest.join(table, F.expr(f"right(gram, {size})") == F.col("short"), "left").select("gram", "gain"))
+        known.append(met.filter("gain is not null"))
+        rest = met.filter("gain is null").select("gram")
+    return reduce(DataFrame.unionByName, known)
+
+
+def scores(urls: DataFrame, tables: list[DataFrame], slot_bits: int | None = None, hot: int = 4096) -> DataFrame:
+    """``_key`` and ``score`` per row of ``urls`` (``_key``, ``_text``); texts without characters have no row.
+
+    At most ``hot`` grams, each more than one in ``hot`` of all characters, are looked up in a broadcast table, so no task of the
+    join that finds the others has much of one gram.  ``slot_bits`` stays for callers and folds nothing.
+    """
+    found = urls.select("_key", F.explode(grams(F.col("_text"), len(tables))).alias("gram"))
+    counted = cut_lineage(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    known = gains(counted, tables).join(counted, "gram").select("gram", F.col("gain"), (F.col("n") * hot > total).alias("often"))
+    known = cut_lineage(known)
+    # A gram without a gain adds nothing but counts as a character.
+    common = counted.filter(F.col("n") * hot > total).select("gram").join(known.select("gram", "gain"), "gram", "left")
+    common = F.broadcast(common.select(F.col("gram").alias("hot_gram"), F.coalesce("gain", F.lit(0.0)).alias("hot_gain")))
+    looked = found.join(common, F.col("gram") == F.col("hot_gram"), "left")
+    rare = looked.filter("hot_gram is null").select("_key", "gram").join(known.filter("not often").select("gram", "gain"), "gram", "left")
+    gain = looked.filter("hot_gram is not null").select("_key", F.col("hot_gain").alias("gain")).unionByName(
+        rare.select("_key", F.coalesce("gain", F.lit(0.0)).alias("gain"))
+    )
+    return gain.groupBy("_key").agg(F.avg("gain").alias("score"))
 
 
 def threshold(scored: DataFrame) -> float:
@@ -138,11 +154,11 @@ def threshold(scored: DataFrame) -> float:
     return first[0]["cell"] / 100 if first else 0.0
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, slot_bits: int = 14) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, slot_bits: int | None = None) -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict``, ``score`` of every row.
 
     The rule's verdict, else allow if the score reaches the threshold.  A url without characters, null included, has
-    score 0.  Rows that repeat a page_id or url are judged alike, each for itself; an empty table gives none.
+    score 0; ``slot_bits`` folds nothing.  Rows that repeat a page_id or url are judged alike, each for itself; an empty table gives none.
     """
     named = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     named = named.withColumn("rule", rule_name(rules, F.col("host"), F.col("path")))
@@ -152,8 +168,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, slo
     known = cut_lineage(known)
     training = known.filter("by_rule is not null").withColumn("accepted", F.col("by_rule") == "allow")
     seen = F.pmod(F.xxhash64("_text"), F.lit(4)) != 0
-    tables = slot_tables(training.filter(seen).select("accepted", F.explode(grams(F.col("_text"))).alias("gram")), slot_bits=slot_bits)
-    scored = cut_lineage(scores(known.select("_key", "_text"), tables, slot_bits))
+    tables = slot_tables(training.filter(seen).select("accepted", F.explode(grams(F.col("_text"))).alias("gram")))
+    scored = cut_lineage(scores(known.select("_key", "_text"), tables))
     limit = threshold(training.filter(~seen).join(scored, "_key"))
     out = known.join(scored, "_key", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     by_models = F.when(F.col("score") >= limit, F.lit("allow")).otherwise(F.lit("block"))

@@ -340,6 +340,20 @@ def test_language_models(spark):
     assert [got.get(i) for i in range(4)] == pytest.approx(plain_scores(accepted, rejected, asked), nan_ok=True)
 
 
+def test_unseen_grams_fall_back_at_any_size(spark):
+    """Production settings, many known grams: scores stay those of the plain models."""
+    draw = random.Random(8)
+    words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(9000)]
+    accepted, rejected = [w + ".org" for w in words[:4500]], [w + ".net" for w in words[4500:]]
+    asked = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=9)) + draw.choice((".org", ".net")) for _ in range(60)] + accepted[:5]
+    training = spark.createDataFrame([(True, u) for u in accepted] + [(False, u) for u in rejected], "accepted boolean, u string")
+    tables = url_filter.slot_tables(training.select("accepted", F.explode(url_filter.grams(F.col("u"))).alias("gram")))
+    urls = spark.createDataFrame(list(enumerate(asked)), "_key long, _text string")
+    for hot in (4096, 20):
+        got = {r["_key"]: r["score"] for r in url_filter.scores(urls, tables, hot=hot).collect()}
+        assert [got[i] for i in range(len(asked))] == pytest.approx(plain_scores(accepted, rejected, asked))
+
+
 def test_url_rules(spark):
     cases = {
         None: ("", "", None),
