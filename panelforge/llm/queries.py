@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from panelforge.llm import (
     chat,
+    divergence,
     embedding_dedup,
     exact_dedup,
     html_main,
+    lines,
     mixing,
     packing,
+    prefix_trie,
     quality,
     simhash,
     substring_dedup,
@@ -133,3 +136,113 @@ def _(spark, sf_dir):
 @query("op5_substring_dedup")
 def _(spark, sf_dir):
     return substring_dedup.repeat_report(table(spark, sf_dir, "documents"))
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS row,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+o AS (SELECT lang, source, row, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term FROM o GROUP BY 1, 2 HAVING COUNT(DISTINCT row) >= 10),
+c AS (SELECT lang, source, term, CAST(COUNT(*) AS HUGEINT) AS n FROM o SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, CAST(COUNT(*) AS HUGEINT) AS terms FROM kept GROUP BY 1),
+whole AS (SELECT lang, term, SUM(n) AS n FROM c GROUP BY 1, 2),
+q AS (
+  SELECT lang, term, 1 + 1000000000 * (n + 2) // (SUM(n) OVER (PARTITION BY lang) + 2 * terms) AS q FROM whole JOIN v USING (lang)),
+p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+         1 + 1000000000 * (coalesce(c.n, 0) + 2) // (SUM(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) + 2 * terms) AS p
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, SUM((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every_pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source),
+telling AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value
+  FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (FROM every_pair UNION ALL FROM telling))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query("op11_source_divergence", DIVERGENCE_SQL)
+def _(spark, sf_dir):
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+TRIE_SQL = r"""
+WITH RECURSIVE steps AS (
+  SELECT i AS byte, i AS x, 0 AS k FROM (SELECT unnest(range(256)) AS i)
+  UNION ALL
+  SELECT byte, CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(x ORDER BY byte) AS t FROM steps WHERE k = 8),
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+         xor(list_reduce([4294967295] || list_transform(range(1, len(s) + 1), lambda i: CAST(ascii(s[i]) AS BIGINT)),
+                         lambda a, b: xor(a // 256, t[CAST(xor(a % 256, b) AS INTEGER) + 1])), 4294967295) % 6 AS h
+  FROM (SELECT conv_id, CAST(conv_id AS VARCHAR) AS s FROM (SELECT DISTINCT conv_id FROM turns)), crc),
+built AS (
+  SELECT c.conv_id, 0 AS part, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h),
+said AS (
+  SELECT conv_id, row_number() OVER w AS depth, len(text) AS chars,
+         list(sha256(len(role) || ':' || role || text)) OVER w AS path
+  FROM built WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)),
+paths AS (
+  SELECT conv_id, 0 AS depth, 0 AS chars, CAST([] AS VARCHAR[]) AS path FROM convs
+  UNION ALL SELECT conv_id, depth, chars, path FROM said),
+ended AS (SELECT *, depth = MAX(depth) OVER (PARTITION BY conv_id) AS ends FROM paths),
+nodes AS (
+  SELECT path, MIN(conv_id) AS conv_id, ANY_VALUE(depth) AS depth, COUNT(*) AS n_convs, ANY_VALUE(chars) AS chars,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM ended GROUP BY path),
+children AS (SELECT path[1:depth - 1] AS path, COUNT(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+grown AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (path)),
+below AS (
+  SELECT x.path, COUNT(*) FILTER (y.n_children = 0) AS n_leaves, SUM((y.n_convs - 1) * y.chars) AS saved
+  FROM (SELECT path, n_convs, chars, n_children, unnest(range(depth + 1)) AS d FROM grown) y
+  JOIN grown x ON x.path = y.path[1:d] GROUP BY 1)
+SELECT g.conv_id, CAST(g.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, g.n_convs, g.n_children, n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, g.ends_sha256
+FROM grown g JOIN below USING (path) LEFT JOIN grown up ON g.depth > 0 AND up.path = g.path[1:g.depth - 1]
+"""
+
+
+@query("op12_prefix_trie", TRIE_SQL)
+def _(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+LINES_SQL = r"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS row, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+split AS (SELECT doc_id, row, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM docs),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM split),
+repeats AS (
+  SELECT key, MIN(doc_id) AS first FROM keyed WHERE len(key) >= 10 GROUP BY key HAVING COUNT(DISTINCT doc_id) > 1),
+judged AS (
+  SELECT keyed.*, coalesce(keyed.doc_id > first, false) AS gone FROM keyed LEFT JOIN repeats USING (key))
+SELECT ANY_VALUE(doc_id) AS doc_id, COUNT(*) AS n_lines, COUNT(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY row
+"""
+
+
+@query("op13_line_dedup", LINES_SQL)
+def _(spark, sf_dir):
+    out = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
