@@ -1,56 +1,66 @@
-"""One gradient-boosted regressor per tier on Spark ML, with guardrail, search and persistence."""
+"""One gradient-boosted regressor per tier, with guardrail, search and persistence."""
 
 from __future__ import annotations
 
 import json
 import math
 import random
-from collections.abc import Callable, Iterable
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
 
-from panelforge.functions import errors
+from panelforge.operators.boosting import (
+    Booster,
+    BoostedTrees,
+    boost,
+    chunked_rows,
+    judged_wmape,
+    quantile_cuts,
+    score_column,
+)
 from panelforge.operators.scoring import fallback_entities, naive_column
 from panelforge.operators.splits import walk_forward_folds
 from panelforge.schema import NUMERIC_FEATURES, TIER_NAMES, check_feature_contract
 from panelforge.session import cut_lineage
 
-# Trees split on order only, so one value below all others marks a missing feature.
-MISSING = -1.0e12
-
+# Settings of a fit and bounds of the search, which must equal the compared library's.
 DEFAULT_PARAMS = {
-    "lossType": "absolute",
-    "maxIter": 50,
-    "maxDepth": 5,
-    "stepSize": 0.1,
+    "maxIter": 600,
+    "stepSize": 0.03,
+    "maxLeaves": 31,
     "minInstancesPerNode": 20,
     "subsamplingRate": 0.85,
     "featureSubsetStrategy": "0.85",
-    "validationTol": 1e-5,
-    "maxBins": 64,
+    "patience": 40,
     "seed": 42,
 }
+SEARCH_ITERATIONS = 500
+STEP_BOUNDS = (0.01, 0.15)
+LEAF_BOUNDS = (15, 63)
+DEPTH_BOUNDS = (3, 10)
+ROWS_BOUNDS = (10, 50)
+SHARE_BOUNDS = (0.6, 1.0)
+PENALTY_BOUNDS = (1e-3, 10.0)
+
+#: Trees of a fit without a depth of its own; the number of leaves binds first.
+MAX_DEPTH = 8
 
 
 @dataclass(frozen=True)
 class TierModel:
     """A fitted tier.
 
-    ``entities`` holds (respondent, level, fallback): the entity's mean target
+    ``entities`` holds (respondent, _level, fallback): the entity's mean target
     in the training rows, which stands for the entity as a feature, and whether
     its forecasts fall back to the naive value.  A table and not a list of
     labels, since the number of entities has no bound.
     """
 
     tier: str
-    regressor: GBTRegressionModel
+    regressor: BoostedTrees
     scale: float
     features: list[str]
     entities: DataFrame
@@ -67,73 +77,105 @@ class TierModel:
         return self.regressor.getNumTrees
 
 
-def _assembled(df: DataFrame, entities: DataFrame, features: list[str]) -> DataFrame:
-    joined = df.join(entities, "respondent", "left")
-    inputs = {
-        f"_x_{name}": F.coalesce(F.col(name).cast("double"), F.lit(MISSING)) for name in [*features, "_level"]
-    }
-    assembler = VectorAssembler(inputCols=list(inputs), outputCol="_features")
-    return assembler.transform(joined.withColumns(inputs)).drop(*inputs)
+def ordered_level(target: str = "target", entity: str = "respondent", date: str = "target_date") -> Column:
+    """Mean target of the entity over strictly earlier days: the entity as a feature of a training row.
 
+    The row's own and later targets play no part, so the feature tells nothing that was not known then.
+    """
+    day = F.unix_date(F.to_date(date))
+    earlier = Window.partitionBy(entity).orderBy(day).rangeBetween(Window.unboundedPreceding, -1)
+    return F.avg(target).over(earlier)
+
+
+def _booster(part: str, params: dict, train_to: int, val_from: int, val_to: int) -> Booster:
+    p = {**DEFAULT_PARAMS, **params}
+    return Booster(
+        part,
+        train_to,
+        val_from,
+        val_to,
+        step=float(p["stepSize"]),
+        leaves=int(p["maxLeaves"]),
+        depth=int(p.get("maxDepth", MAX_DEPTH)),
+        min_rows=int(p["minInstancesPerNode"]),
+        rows_share=float(p["subsamplingRate"]),
+        features_share=float(p["featureSubsetStrategy"]),
+        alpha=float(p.get("regAlpha", 0.0)),
+        lam=float(p.get("regLambda", 0.0)),
+        seed=int(p["seed"]),
+        patience=int(p["patience"]),
+    )
 
-def _raw_prediction(
-    df: DataFrame, regressor: GBTRegressionModel, scale: float, features: list[str], entities: DataFrame, name: str
-) -> DataFrame:
-    scored = regressor.transform(_assembled(df, entities, features))
-    return scored.withColumn(name, F.col("_prediction") * scale).drop("_features", "_prediction", "_level")
 
+def _labelled(df: DataFrame, tiers: list[str]) -> DataFrame:
+    return df.filter(F.col("tier").isin(tiers) & F.col("target").isNotNull())
 
-def fit_tier(
+
+def train_all_tiers(
     train: DataFrame,
     val: DataFrame,
-    tier: str,
+    tiers: Iterable[str] = TIER_NAMES,
     params: dict | None = None,
+    params_by_tier: dict[str, dict] | None = None,
     features: list[str] = NUMERIC_FEATURES,
-) -> TierModel:
-    """Fit one tier with absolute loss; iterations stop when the validation error does.
+) -> dict[str, TierModel]:
+    """One model per tier with absolute loss; iterations stop when the tier's validation error does.
 
-    The target is divided by its deviation, since the gradient of the absolute
-    loss is one unit per row whatever the scale of the target.
+    All tiers are boosted in the same jobs.  A training row knows its entity by ``ordered_level``, a later row
+    by the mean over all training rows.
     """
     check_feature_contract(features)
-    tr = train.filter((F.col("tier") == tier) & F.col("target").isNotNull())
-    va = val.filter((F.col("tier") == tier) & F.col("target").isNotNull())
-    size = tr.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("target").alias("std")).first()
-    if size["n"] == 0:
-        raise ValueError(f"no training rows for tier {tier}")
-    if va.isEmpty():
-        raise ValueError(f"no validation rows for tier {tier}")
-    scale = float(size["std"] or 0.0) or 1.0
-
-    levels = tr.groupBy("respondent").agg(F.avg("target").alias("_level"))
-    columns = ["respondent", "target", *features]
-    both = (
-        tr.select(*columns)
-        .withColumn("_validation", F.lit(False))
-        .unionByName(va.select(*columns).withColumn("_validation", F.lit(True)))
-        .withColumn("_label", F.col("target") / scale)
-    )
-    estimator = GBTRegressor(
-        featuresCol="_features",
-        labelCol="_label",
-        predictionCol="_prediction",
-        validationIndicatorCol="_validation",
-        **{**DEFAULT_PARAMS, **(params or {})},
+    tiers = list(tiers)
+    tr, va = _labelled(train, tiers), _labelled(val, tiers)
+    for rows, name in ((tr, "training"), (va, "validation")):
+        present = {r["tier"] for r in rows.select("tier").distinct().collect()}
+        for tier in tiers:
+            if tier not in present:
+                raise ValueError(f"no {name} rows for tier {tier}")
+
+    levels = cut_lineage(tr.groupBy("tier", "respondent").agg(F.avg("target").alias("_level")))
+    columns = list(dict.fromkeys(["tier", "respondent", "target", naive_column(train), *features]))
+    early = tr.withColumn("_level", ordered_level()).select(*columns, "_level", F.lit(0).alias("_stamp"))
+    late = va.join(levels, ["tier", "respondent"], "left").select(*columns, "_level", F.lit(1).alias("_stamp"))
+    inputs = [*features, "_level"]
+    cuts = quantile_cuts(early, inputs, "tier")
+    chunks = chunked_rows(
+        early.unionByName(late), inputs, cuts, "tier", F.col("_stamp"), "target", naive_column(train), "respondent"
     )
-    # Boosting keeps its training rows but reads the validation rows again in every iteration.
-    instances = _assembled(both, levels, features).select("_features", "_label", "_validation").persist()
-    try:
-        regressor = estimator.fit(instances)
-    finally:
-        instances.unpersist()
-
-    scored = _raw_prediction(va, regressor, scale, features, levels, "_raw")
-    lost = fallback_entities(scored, "_raw").select("respondent", F.lit(True).alias("fallback"))
-    entities = levels.join(lost, "respondent", "full").select(
-        "respondent", "_level", F.coalesce("fallback", F.lit(False)).alias("fallback")
+    settings = [{**(params or {}), **(params_by_tier or {}).get(tier, {})} for tier in tiers]
+    boosters = [_booster(tier, own, 0, 1, 1) for tier, own in zip(tiers, settings)]
+    limits = [int({**DEFAULT_PARAMS, **own}["maxIter"]) for own in settings]
+    for limit in sorted(set(limits)):
+        boost(chunks, [b for b, most in zip(boosters, limits) if most >= limit], len(inputs), limit)
+
+    fitted = {tier: BoostedTrees.of(b, cuts) for tier, b in zip(tiers, boosters)}
+    scored = _scored(va, fitted, features, levels, "_raw")
+    lost = fallback_entities(scored, "_raw").withColumn("fallback", F.lit(True))
+    entities = cut_lineage(
+        levels.join(lost, ["tier", "respondent"], "full").withColumn("fallback", F.coalesce("fallback", F.lit(False)))
     )
-    best = scored.agg(errors.mae("target", "_raw").alias("mae")).first()["mae"]
-    return TierModel(tier, regressor, scale, list(features), cut_lineage(entities), best)
+    return {
+        tier: TierModel(
+            tier,
+            fitted[tier],
+            1.0,
+            list(features),
+            entities.filter(F.col("tier") == tier).select("respondent", "_level", "fallback"),
+            b.errors[b.best],
+        )
+        for tier, b in zip(tiers, boosters)
+    }
+
+
+def fit_tier(
+    train: DataFrame,
+    val: DataFrame,
+    tier: str,
+    params: dict | None = None,
+    features: list[str] = NUMERIC_FEATURES,
+) -> TierModel:
+    """Fit one tier; see :func:`train_all_tiers`."""
+    return train_all_tiers(train, val, [tier], params, None, features)[tier]
 
 
 def fallback_of(model: TierModel) -> DataFrame:
@@ -141,15 +183,18 @@ def fallback_of(model: TierModel) -> DataFrame:
     return model.entities.filter("fallback").select(F.lit(model.tier).alias("tier"), "respondent")
 
 
+def _scored(df: DataFrame, models: dict[str, BoostedTrees], features: list[str], entities: DataFrame, name: str) -> DataFrame:
+    """Rows of ``df`` scored by the model of their tier, with the columns of ``entities``."""
+    joined = df.join(entities, ["tier", "respondent"], "left")
+    return joined.withColumn(name, score_column(models, F.col("tier"), [F.col(c) for c in [*features, "_level"]])).drop("_level")
+
+
 def predict(df: DataFrame, model: TierModel, name: str = "model_prediction", enable_fallback: bool = True) -> DataFrame:
-    """Score rows with one tier model, batch or stream."""
+    """Score all rows with one tier model, batch or stream."""
     columns = [c for c in df.columns if c != name]
-    entities = model.entities.withColumnRenamed("fallback", "_fallback")
-    scored = _raw_prediction(df.select(*columns), model.regressor, model.scale, model.features, entities, name)
-    if enable_fallback:
-        naive = F.col(naive_column(df))
-        scored = scored.withColumn(name, F.when(F.col("_fallback"), naive).otherwise(F.col(name)))
-    return scored.select(*columns, name)
+    own = df.select(*[F.col(c).alias(f"_own_{c}") if c == "tier" else F.col(c) for c in columns]).withColumn("tier", F.lit(model.tier))
+    scored = predict_with_tier_models(own, {model.tier: model}, name, enable_fallback)
+    return scored.select(*[F.col(f"_own_{c}").alias(c) if c == "tier" else F.col(c) for c in columns], name)
 
 
 def predict_with_tier_models(
@@ -160,40 +205,30 @@ def predict_with_tier_models(
 ) -> DataFrame:
     """Score every row with the model of its tier; rows of other tiers get NULL.
 
-    The rows are read once and pass the models one after the other, each row keeping its own tier's value.
+    The rows are read once: one join with the entities of all models and one scoring column.
     """
     columns = [c for c in df.columns if c != name]
-    scored = df.select(*columns).withColumn("_chosen", F.lit(None).cast("double"))
+    if not models:
+        return df.select(*columns).withColumn(name, F.lit(None).cast("double"))
+    entities = None
     for tier, model in models.items():
-        own = F.when(F.col("tier") == tier, F.col(name)).otherwise(F.col("_chosen"))
-        scored = predict(scored, model, name, enable_fallback).withColumn("_chosen", own).drop(name)
-    return scored.select(*columns, F.col("_chosen").alias(name))
-
-
-def _side_by_side(spark: SparkSession, fits: list[Callable], parallelism: int) -> list:
-    """Run independent fits from a few driver threads, so that their Spark jobs overlap."""
-    with ThreadPoolExecutor(max(1, min(parallelism, len(fits)))) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(fit)) for fit in fits]]
-
-
-def train_all_tiers(
-    train: DataFrame,
-    val: DataFrame,
-    tiers: Iterable[str] = TIER_NAMES,
-    params: dict | None = None,
-    params_by_tier: dict[str, dict] | None = None,
-    features: list[str] = NUMERIC_FEATURES,
-    parallelism: int = 3,
-) -> dict[str, TierModel]:
-    """One model per tier; give written tables, since each fit reads them several times."""
-    tuned = params_by_tier or {}
-    names = list(tiers)
-
-    def fit(tier: str) -> Callable[[], TierModel]:
-        return lambda: fit_tier(train, val, tier, {**(params or {}), **tuned.get(tier, {})}, features)
-
-    fitted = _side_by_side(train.sparkSession, [fit(t) for t in names], parallelism)
-    return dict(zip(names, fitted, strict=True))
+        own = model.entities.select(
+            F.lit(tier).alias("tier"), "respondent", "_level", F.col("fallback").alias("_fallback")
+        )
+        entities = own if entities is None else entities.unionByName(own)
+    by_features: dict[tuple, dict[str, BoostedTrees]] = {}
+    for tier, model in models.items():
+        by_features.setdefault(tuple(model.features), {})[tier] = model.regressor
+    joined = df.select(*columns).join(entities, ["tier", "respondent"], "left")
+    parts = [
+        score_column(group, F.col("tier"), [F.col(c) for c in [*features, "_level"]])
+        for features, group in by_features.items()
+    ]
+    scored = joined.withColumn(name, F.coalesce(*parts))
+    if enable_fallback:
+        naive = F.col(naive_column(df))
+        scored = scored.withColumn(name, F.when(F.col("_fallback"), naive).otherwise(F.col(name)))
+    return scored.select(*columns, name)
 
 
 def latest_rows(features: DataFrame) -> DataFrame:
@@ -211,7 +246,8 @@ META = "tier string, scale double, features array<string>, best_score double"
 
 def save_model(model: TierModel, path: str) -> None:
     spark = model.entities.sparkSession
-    model.regressor.write().overwrite().save(f"{path}/regressor")
+    trees = spark.createDataFrame([(model.regressor.to_json(),)], "model string")
+    trees.write.mode("overwrite").parquet(f"{path}/regressor")
     model.entities.write.mode("overwrite").parquet(f"{path}/entities")
     meta = spark.createDataFrame(
         [(model.tier, model.scale, model.features, model.best_score)], META
@@ -223,7 +259,7 @@ def load_model(spark: SparkSession, path: str) -> TierModel:
     meta = spark.read.schema(META).json(f"{path}/meta").first()
     return TierModel(
         tier=meta["tier"],
-        regressor=GBTRegressionModel.load(f"{path}/regressor"),
+        regressor=BoostedTrees.from_json(spark.read.parquet(f"{path}/regressor").first()["model"]),
         scale=meta["scale"],
         features=list(meta["features"]),
         entities=spark.read.parquet(f"{path}/entities"),
@@ -234,65 +270,121 @@ def load_model(spark: SparkSession, path: str) -> TierModel:
 # ------------------------------------------------------------------ search
 
 
-# Bounds of the search, which must equal the compared library's.
-STEP_BOUNDS = (0.01, 0.15)
-DEPTH_BOUNDS = (3, 10)
-
-
 def random_candidates(n: int, seed: int = 42, **fixed) -> list[dict]:
-    """Seeded parameter sets; learning rates are drawn log-uniformly."""
+    """Seeded parameter sets; learning rates and penalties are drawn log-uniformly."""
     draw = random.Random(seed)
-    low, high = map(math.log, STEP_BOUNDS)
+
+    def logged(bounds: tuple[float, float]) -> float:
+        return round(math.exp(draw.uniform(*map(math.log, bounds))), 6)
+
     return [
         {
-            "stepSize": round(math.exp(draw.uniform(low, high)), 6),
+            "maxIter": SEARCH_ITERATIONS,
+            "stepSize": logged(STEP_BOUNDS),
+            "maxLeaves": draw.randint(*LEAF_BOUNDS),
             "maxDepth": draw.randint(*DEPTH_BOUNDS),
-            "minInstancesPerNode": draw.randint(10, 50),
-            "subsamplingRate": round(draw.uniform(0.6, 1.0), 4),
-            "featureSubsetStrategy": str(round(draw.uniform(0.6, 1.0), 4)),
+            "minInstancesPerNode": draw.randint(*ROWS_BOUNDS),
+            "subsamplingRate": round(draw.uniform(*SHARE_BOUNDS), 4),
+            "featureSubsetStrategy": str(round(draw.uniform(*SHARE_BOUNDS), 4)),
+            "regAlpha": logged(PENALTY_BOUNDS),
+            "regLambda": logged(PENALTY_BOUNDS),
             **fixed,
         }
         for _ in range(n)
     ]
 
 
-def walk_forward_search(
+def halving_rungs(candidates: int, n_splits: int, rounds: int, keep: float = 1 / 3) -> list[tuple[int, int, int]]:
+    """``(candidates, folds, rounds)`` of each rung: a share ``keep`` goes on, folds and rounds grow to the full ones.
+
+    There is a rung per fold, with 1/27, 1/9, ... of the rounds before the last.
+    """
+    rungs = []
+    for rung in range(n_splits):
+        left = n_splits - 1 - rung
+        rungs.append((max(1, math.ceil(candidates * keep**rung)), rung + 1, max(1, math.ceil(rounds / 3 ** (1.5 * left)))))
+    return rungs
+
+
+TRIALS = "tier string, trial int, params string, folds int, wmape double, rung int, rung_wmape double"
+
+
+def search_tiers(
     df: DataFrame,
-    tier: str,
+    tiers: list[str],
     candidates: list[dict],
     n_splits: int = 3,
     features: list[str] = NUMERIC_FEATURES,
-    parallelism: int = 4,
+    rungs: list[tuple[int, int, int]] | None = None,
+) -> DataFrame:
+    """Search over walk-forward folds by successive halving, all tiers, trials and folds in the same jobs.
+
+    ``rungs`` holds (candidates, folds, rounds), by default :func:`halving_rungs`; one rung with all folds and rounds is the full search.
+    Rows are binned once for all trials, and boosters go on where the rung before left them.  A trial's score is its mean validation
+    WMAPE with fallback over the folds of the rung; folds without a valid pair are left out.
+
+    Result: ``TRIALS``; ``wmape`` only for those that reached the last rung, ``rung_wmape`` for every trial at its last rung (counted from 1).
+    """
+    check_feature_contract(features)
+    rows = _labelled(df, tiers)
+    folds = {}
+    for tier in tiers:
+        own = rows.filter(F.col("tier") == tier)
+        if own.isEmpty():
+            raise ValueError(f"no rows for tier {tier}")
+        cut = [F.unix_date(c).alias(c) for c in ("train_end", "val_start", "val_end")]
+        folds[tier] = walk_forward_folds(own, n_splits).orderBy("fold").select(*cut).collect()
+    inputs = [*features, "_level"]
+    naive = naive_column(df)
+    known = rows.withColumn("_level", ordered_level())
+    cuts = quantile_cuts(known, inputs, "tier")
+    stamp = F.unix_date(F.to_date("target_date"))
+    chunks = chunked_rows(known, inputs, cuts, "tier", stamp, "target", naive, "respondent")
+
+    iterations = max(int({**DEFAULT_PARAMS, **c}["maxIter"]) for c in candidates)
+    rungs = rungs or halving_rungs(len(candidates), n_splits, iterations)
+    boosters: dict[tuple[str, int, int], Booster] = {}
+    alive = {tier: list(range(len(candidates))) for tier in tiers}
+    scores: dict[tuple[str, int], tuple[int, int, float | None]] = {}
+    for rung, (many, used, rounds) in enumerate(rungs, 1):
+        for tier in tiers:
+            alive[tier] = sorted(
+                alive[tier], key=lambda t: (_worst(scores.get((tier, t), (0, 0, None))[2]) if rung > 1 else 0, t)
+            )[:many]
+            for trial in alive[tier]:
+                for fold in range(used):
+                    cut = folds[tier][fold]
+                    boosters.setdefault((tier, trial, fold), _booster(tier, candidates[trial], *cut))
+        own = [(k, boosters[k]) for k in boosters if k[1] in alive[k[0]] and k[2] < used]
+        limits = {k: min(rounds, int({**DEFAULT_PARAMS, **candidates[k[1]]}["maxIter"])) for k, _ in own}
+        for limit in sorted(set(limits.values())):
+            boost(chunks, [b for k, b in own if limits[k] >= limit], len(inputs), limit)
+        judged = judged_wmape(chunks, [b for _, b in own])
+        for tier in tiers:
+            for trial in alive[tier]:
+                valid = [judged[i] for i, (k, _) in enumerate(own) if k[:2] == (tier, trial) and judged[i] is not None]
+                scores[tier, trial] = (rung, len(valid), sum(valid) / len(valid) if valid else None)
+    out = [
+        (tier, trial, json.dumps(candidates[trial], sort_keys=True), folds_, w if rung == len(rungs) else None, rung, w)
+        for (tier, trial), (rung, folds_, w) in sorted(scores.items())
+    ]
+    return df.sparkSession.createDataFrame(out, TRIALS)
+
+
+def _worst(score: float | None) -> float:
+    return math.inf if score is None else score
+
+
+def walk_forward_search(
+    df: DataFrame, tier: str, candidates: list[dict], n_splits: int = 3, features: list[str] = NUMERIC_FEATURES
 ) -> DataFrame:
-    """Mean validation WMAPE over expanding folds per candidate: (tier, trial, params, folds, wmape).
+    """Every candidate over all folds and rounds: (tier, trial, params, folds, wmape).
 
     Folds without a valid pair are left out; a candidate without any has NULL.
     """
-    rows = df.filter((F.col("tier") == tier) & F.col("target").isNotNull())
-    if rows.isEmpty():
-        raise ValueError(f"no rows for tier {tier}")
-    folds = walk_forward_folds(rows, n_splits).orderBy("fold").collect()
-    day = F.to_date("target_date")
-
-    def score(params: dict, fold) -> Callable[[], float | None]:
-        def run() -> float | None:
-            train = rows.filter(day <= F.lit(fold["train_end"]))
-            val = rows.filter(day.between(F.lit(fold["val_start"]), F.lit(fold["val_end"])))
-            model = fit_tier(train, val, tier, params, features)
-            return predict(val, model).agg(errors.wmape("target", "model_prediction").alias("w")).first()["w"]
-
-        return run
-
-    fits = [score(params, fold) for params in candidates for fold in folds]
-    scores = _side_by_side(df.sparkSession, fits, parallelism)
-    results = []
-    for trial, params in enumerate(candidates):
-        valid = [w for w in scores[trial * len(folds) : (trial + 1) * len(folds)] if w is not None]
-        mean = sum(valid) / len(valid) if valid else None
-        results.append((tier, trial, json.dumps(params, sort_keys=True), len(valid), mean))
-    return df.sparkSession.createDataFrame(
-        results, "tier string, trial int, params string, folds int, wmape double"
-    )
+    most = max(int({**DEFAULT_PARAMS, **c}["maxIter"]) for c in candidates)
+    trials = search_tiers(df, [tier], candidates, n_splits, features, [(len(candidates), n_splits, most)])
+    return trials.select("tier", "trial", "params", "folds", "wmape")
 
 
 def best_params(trials: DataFrame) -> DataFrame:
