@@ -117,7 +117,7 @@ def stored_prefixes(turns: DataFrame) -> DataFrame:
     half = lambda at: F.conv(F.substring("_digest", at, 16), 16, -10).cast("long")
     base = base.withColumn("_digest", digest).withColumns({"d1": half(1), "d2": half(17)}).drop("_digest")
     narrow = cut_lineage(base.select("conv_id", "turn", "role", "d1", "d2", F.length("text").cast("long").alias("chars")))
-    _compare_turns(base, narrow)
+    _compare_turns(base)
 
     keys = ["conv_id", "turn", "role", "d1", "d2"]
     dealt = narrow.repartitionByRange(*keys).sortWithinPartitions(*keys)
@@ -132,10 +132,9 @@ def stored_prefixes(turns: DataFrame) -> DataFrame:
     return cut_lineage(placed.join(starts, ["conv_id", "block"], "left").mapInArrow(_compose_blocks, _PREFIX))
 
 
-def _compare_turns(base: DataFrame, narrow: DataFrame) -> None:
-    """Turns that share a digest must have the same role and text."""
-    again = narrow.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1", "d2")
-    said = base.join(again, ["d1", "d2"], "left_semi").groupBy("d1", "d2", "role", "text").agg(F.lit(1).alias("one"))
+def _compare_turns(base: DataFrame) -> None:
+    """Turns that share a digest must have the same role and text; a turn that many conversations share is one row per task."""
+    said = base.groupBy("d1", "d2", "role", "text").agg(F.lit(1).alias("one"))
     clash = said.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if not clash.isEmpty():
         raise ValueError("two different turns share a digest")
