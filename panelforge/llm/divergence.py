@@ -8,7 +8,8 @@ than that of any longer one, so nothing is lost, and the long tail of rare terms
 A document counts once for a prefix though several of its terms share it.  To count without document ids, the terms of
 a document are sorted, and each carries the first level at which its prefix differs from the term before: it stands for its document
 at this level and all deeper ones.  Discarding takes whole prefixes, so the term before is either still there or had another prefix
-anyway, and the mark stays right.  Occurrences can therefore be added up per task by (language, source, term, mark).
+anyway, and the mark stays right.  Documents can therefore be added up per task by (language, term, mark), without sources; occurrences
+by (language, source, term) are added up beside them in the same pass and joined with the kept terms once.
 
 All counts are whole numbers and all arithmetic is exact; rates use decimals of 38 digits.
 """
@@ -31,18 +32,21 @@ from panelforge.session import cut_lineage
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 _GAP = re.compile(rb"[^a-z\x80-\xff]")
 FIRST_LEVEL = 2
-_PIECE, _HELD = 1 << 20, 1 << 18
-_MARKS, _DOCUMENT = [bytes((i,)) for i in range(64)], 1 << 40
+_PIECE, _HELD = 1 << 20, 1 << 19
+_MARKS = [bytes((i,)) for i in range(64)]
+#: The level at which surviving terms are added up over all tasks: prefixes of 4 bytes have been cut, 8 are next.
+_JOINED_AT = 2
 #: Sources per tile of the pair sums, terms per task of them.
 TILE, TERMS = 256, 1 << 14
 
+#: Rows with ``marked`` count documents by language, term and mark; the others occurrences by language, source and term.
 OCCURRENCES = pa.schema(
     [
+        ("marked", pa.bool_()),
         ("lang", pa.string()),
         ("source", pa.string()),
         ("term", pa.binary()),
         ("mark", pa.int32()),
-        ("docs", pa.int64()),
         ("n", pa.int64()),
     ]
 )
@@ -59,62 +63,68 @@ def term_counts(text: bytes) -> Counter:
     return found
 
 
-def add_terms(counts: Counter, sums: dict[bytes, int]) -> None:
-    """Add a document to ``sums``: per term and mark (its last byte) the documents above 40 bits, the occurrences below.
+def add_terms(counts: Counter, marked: dict[bytes, int], plain: dict[bytes, int]) -> None:
+    """Add a document: to ``marked`` one document per term and mark (its last byte), to ``plain`` the occurrences per term.
 
     The mark is the first level whose prefix differs from the term before.
     """
-    before = None
+    # No term begins with the byte 0, so the first one differs at once.
+    before, first, second, known, seen = b"\0", FIRST_LEVEL, 2 * FIRST_LEVEL, marked.get, plain.get
     for term in sorted(counts):
-        size, mark = FIRST_LEVEL, 0
-        if before is not None:
+        if before[:first] != term[:first]:
+            key = term + _MARKS[0]
+        elif before[:second] != term[:second]:
+            key = term + _MARKS[1]
+        else:
+            size, mark = 2 * second, 2
             while before[:size] == term[:size]:
                 size, mark = 2 * size, mark + 1
-        key = term + _MARKS[mark]
-        sums[key] = sums.get(key, 0) + _DOCUMENT + counts[term]
+            key = term + _MARKS[mark]
+        marked[key] = known(key, 0) + 1
+        plain[term] = seen(term, 0) + counts[term]
         before = term
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[tuple[str, str], dict[bytes, int]] = defaultdict(dict)
-
-    def rows(lang: str, source: str) -> pa.RecordBatch:
-        sums = held.pop((lang, source))
-        columns = (
-            [lang] * len(sums),
-            [source] * len(sums),
-            [key[:-1] for key in sums],
-            [key[-1] for key in sums],
-            [both >> 40 for both in sums.values()],
-            [both & (_DOCUMENT - 1) for both in sums.values()],
-        )
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, OCCURRENCES)], schema=OCCURRENCES)
+    marked: dict[str, dict[bytes, int]] = defaultdict(dict)
+    plain: dict[tuple[str, str], dict[bytes, int]] = defaultdict(dict)
+
+    def rows(held: dict) -> Iterator[pa.RecordBatch]:
+        for key in list(held):
+            sums = held.pop(key)
+            n = len(sums)
+            if isinstance(key, str):
+                columns = ([True] * n, [key] * n, [None] * n, [k[:-1] for k in sums], [k[-1] for k in sums], list(sums.values()))
+            else:
+                columns = ([False] * n, [key[0]] * n, [key[1]] * n, list(sums), [None] * n, list(sums.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, OCCURRENCES)], schema=OCCURRENCES)
 
-    size = 0
     for part in slices(batches, "text"):
         for lang, source, text in zip(*(part.column(c).to_pylist() for c in ("lang", "source", "text"))):
-            sums = held[lang, source]
-            size -= len(sums)
-            add_terms(term_counts(text.encode()), sums)
-            size += len(sums)
-            if size >= _HELD:
-                for group in list(held):
-                    yield rows(*group)
-                size = 0
-    for group in list(held):
-        yield rows(*group)
+            add_terms(term_counts(text.encode()), marked[lang], plain[lang, source])
+        for held in (marked, plain):
+            if sum(map(len, held.values())) >= _HELD:
+                yield from rows(held)
+    for held in (marked, plain):
+        yield from rows(held)
 
 
 def kept_terms(occurrences: DataFrame, least: int) -> DataFrame:
-    """``lang`` and ``term`` of the terms in at least ``least`` documents of their language, by prefix refinement."""
-    kept, size, level = None, FIRST_LEVEL, 0
+    """``lang`` and ``term`` of the terms in at least ``least`` documents of their language, by prefix refinement.
+
+    ``occurrences`` holds documents by ``lang``, ``term`` and ``mark``.  The first levels read them as the tasks left them; what has survived
+    by then is added up once for the levels that follow.
+    """
+    kept, size, level, alive = None, FIRST_LEVEL, 0, occurrences
     while True:
-        alive = occurrences
+        rows = alive
         if kept is not None:
             parents = kept.select(F.col("lang").alias("_lang"), "prefix")
             under = (F.col("lang") == F.col("_lang")) & (F.substring("term", 1, size // 2) == F.col("prefix"))
-            alive = occurrences.join(parents, under, "left_semi")
-        counted = alive.groupBy("lang", F.substring("term", 1, size).alias("prefix")).agg(
+            rows = alive.join(parents, under, "left_semi")
+        if level == _JOINED_AT:
+            rows = alive = cut_lineage(rows.groupBy("lang", "term", "mark").agg(F.sum("docs").alias("docs")))
+        counted = rows.groupBy("lang", F.substring("term", 1, size).alias("prefix")).agg(
             F.sum(F.when(F.col("mark") <= level, F.col("docs")).otherwise(0)).alias("docs"),
             F.max(F.length("term")).alias("longest"),
         )
@@ -143,12 +153,14 @@ def term_tables(docs: DataFrame, least: int = 10) -> tuple[DataFrame, DataFrame]
     with ``at`` (its number within the language), ``total`` and ``lang_total`` (occurrences of kept terms), ``terms`` (kept in the language), ``sources``.
     """
     read = docs.select(filled("lang").alias("lang"), filled("source").alias("source"), filled("text").alias("text"))
-    schema = "lang string, source string, term binary, mark int, docs long, n long"
-    occurrences = cut_lineage(read.mapInArrow(_occurrences, schema))
-    kept = kept_terms(occurrences, least)
-    counts = cut_lineage(
-        occurrences.join(kept, ["lang", "term"], "left_semi").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    schema = "marked boolean, lang string, source string, term binary, mark int, n long"
+    stored = cut_lineage(read.mapInArrow(_occurrences, schema))
+    marked = stored.filter("marked").select("lang", "term", "mark", F.col("n").alias("docs"))
+    kept = cut_lineage(kept_terms(marked, least).withColumn("id", F.monotonically_increasing_id()))
+    by_id = (
+        stored.filter("not marked").join(kept, ["lang", "term"]).groupBy("id", "source").agg(F.sum("n").alias("n"))
     )
+    counts = cut_lineage(by_id.join(kept, "id").select("lang", "source", "term", "n"))
     per_lang = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     lang_totals = counts.groupBy("lang").agg(F.sum("n").alias("lang_total"))
