@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -1632,6 +1631,7 @@ def _(spark, sf_dir):
 
 # ------------------------------------------------------------------ fitted models (no SQL counterpart)
 
+
 def _fitted(spark, sf_dir):
     """Split features as a written table, and the three fitted tiers."""
     df = cut_lineage(splits.split_time_series(stored_features(spark, sf_dir)))
@@ -1647,11 +1647,9 @@ def _(spark, sf_dir):
 
 @query("walk_forward_search")
 def _(spark, sf_dir):
-    """Two trials per tier, every tier, three folds; the number of trials is the caller's."""
+    """Thirty candidates for every tier by successive halving over three folds."""
     df = cut_lineage(splits.train_and_validation(splits.split_time_series(stored_features(spark, sf_dir))))
-    candidates = models.random_candidates(2, seed=42)
-    trials = [models.walk_forward_search(df, tier, candidates) for tier in TIER_NAMES]
-    return reduce(DataFrame.unionByName, trials)
+    return models.search_tiers(df, TIER_NAMES, models.random_candidates(30, seed=42))
 
 
 @query("next_day_forecast")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from panelforge.schema import KEY
 from panelforge.sources.pages import PAGE_SCHEMA, checked_pages, normalise_rows, page_rows
@@ -51,6 +55,49 @@ def drop_repeats(df: DataFrame, key: list[str] = REVISION, time: str = "period",
     return stamped.withWatermark("event_ts", lookback).dropDuplicatesWithinWatermark(key)
 
 
+def _changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Rows of one key, in order of ingest, whose value is not the one before; the last value is the key's state."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    rows = pd.concat(list(frames)).sort_values(["_ingested_at", "value"], kind="stable", na_position="first")
+    known, last = state.exists, state.get[0] if state.exists else None
+    kept = []
+    for value in rows["value"]:
+        value = None if pd.isna(value) else value
+        kept.append(not known or value != last)
+        known, last = True, value
+    state.update((last,))
+    if key[0] is not None:
+        # Rows of this day are late from here on, so nothing can be compared with the state any more.
+        ends = int(pd.Timestamp(key[0]).timestamp() + 86_400) * 1000
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+    rows = rows[pd.Series(kept, index=rows.index).to_numpy()]
+    if len(rows):
+        yield rows
+
+
+def revisions(df: DataFrame, lookback: str = LOOKBACK) -> DataFrame:
+    """Rows that change what is known of their key ``(period, respondent, type)``, across batches.
+
+    A row seen again, in the same batch or a later one, goes no further, whatever its ingest time; a value that changes and
+    changes back is two revisions.  A missing value is a value here.  Rows older than ``lookback`` behind the newest period
+    are late and dropped, and so is the state of their keys.
+
+    A batch gives the same rows from one ordered comparison per key.
+    """
+    if not df.isStreaming:
+        by_key = Window.partitionBy(*KEY).orderBy(F.col("_ingested_at").asc_nulls_first(), F.col("value").asc_nulls_first())
+        number, before = F.row_number().over(by_key), F.lag("value").over(by_key)
+        changed = df.withColumn("_changed", (number == 1) | ~F.col("value").eqNullSafe(before))
+        return changed.filter("_changed").drop("_changed")
+    stamped = df.withColumn("event_ts", F.col("period").cast("timestamp")).withWatermark("event_ts", lookback)
+    changed = stamped.groupBy(*KEY).applyInPandasWithState(
+        _changes, stamped.schema, "value double", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return changed.drop("event_ts")
+
+
 def upsert_stream(
     df: DataFrame, store: str, checkpoint: str, grain: str = "year", available_now: bool = True
 ) -> StreamingQuery:
