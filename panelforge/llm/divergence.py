@@ -32,8 +32,8 @@ from panelforge.session import cut_lineage
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 _GAP = re.compile(rb"[^a-z\x80-\xff]")
 FIRST_LEVEL = 2
-_PIECE, _HELD = 1 << 20, 1 << 19
-_MARKS = [bytes((i,)) for i in range(64)]
+_PIECE, _HELD = 1 << 20, 1 << 20
+_MARKS, _HEAD = [bytes((i,)) for i in range(64)], 16
 #: The level at which surviving terms are added up over all tasks: prefixes of 4 bytes have been cut, 8 are next.
 _JOINED_AT = 2
 #: Sources per tile of the pair sums, terms per task of them.
@@ -52,56 +52,63 @@ OCCURRENCES = pa.schema(
 )
 
 
-def term_counts(text: bytes) -> Counter:
-    """Terms of a text with their counts, read in pieces so that only different terms are held."""
-    lowered, found, at = text.lower(), Counter(), 0
+def read_terms(text: bytes, plain: Counter) -> list[bytes]:
+    """The different terms of a text in order; ``plain`` counts them all.  Texts are read in pieces, so only different terms are held."""
+    lowered, found, at = text.lower(), set(), 0
     while at < len(lowered):
         gap = _GAP.search(lowered, min(len(lowered), at + _PIECE))
         end = gap.start() if gap else len(lowered)
-        found.update(_TERM.findall(lowered, at, end))
+        terms = _TERM.findall(lowered, at, end)
+        plain.update(terms)
+        found.update(terms)
         at = max(end, at + 1)
-    return found
-
-
-def add_terms(counts: Counter, marked: dict[bytes, int], plain: dict[bytes, int]) -> None:
-    """Add a document: to ``marked`` one document per term and mark (its last byte), to ``plain`` the occurrences per term.
-
-    The mark is the first level whose prefix differs from the term before.
-    """
-    # No term begins with the byte 0, so the first one differs at once.
-    before, first, second, known, seen = b"\0", FIRST_LEVEL, 2 * FIRST_LEVEL, marked.get, plain.get
-    for term in sorted(counts):
-        if before[:first] != term[:first]:
-            key = term + _MARKS[0]
-        elif before[:second] != term[:second]:
-            key = term + _MARKS[1]
-        else:
-            size, mark = 2 * second, 2
-            while before[:size] == term[:size]:
-                size, mark = 2 * size, mark + 1
-            key = term + _MARKS[mark]
-        marked[key] = known(key, 0) + 1
-        plain[term] = seen(term, 0) + counts[term]
-        before = term
+    return sorted(found)
+
+
+def term_marks(terms: list[bytes], starts: list[int]) -> np.ndarray:
+    """The mark of each term: the first level whose prefix differs from the term before; 0 where a document starts."""
+    if not terms:
+        return np.zeros(0, np.int64)
+    # No term holds the byte 0, so filling up with it keeps them apart.
+    heads = np.array(terms, dtype=f"S{_HEAD}").view(np.uint8).reshape(-1, _HEAD)
+    differs = heads[1:] != heads[:-1]
+    shared = np.r_[0, np.where(differs.any(axis=1), differs.argmax(axis=1), _HEAD)]
+    marks = np.searchsorted([FIRST_LEVEL << i for i in range(4)], shared, side="right")
+    marks[starts] = 0
+    shared[starts] = 0
+    for i in np.flatnonzero(shared == _HEAD).tolist():
+        size, mark = _HEAD, 3
+        while terms[i - 1][:size] == terms[i][:size]:
+            size, mark = 2 * size, mark + 1
+        marks[i] = mark
+    return marks
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    marked: dict[str, dict[bytes, int]] = defaultdict(dict)
-    plain: dict[tuple[str, str], dict[bytes, int]] = defaultdict(dict)
+    marked: dict[str, Counter] = defaultdict(Counter)
+    plain: dict[tuple[str, str], Counter] = defaultdict(Counter)
 
     def rows(held: dict) -> Iterator[pa.RecordBatch]:
         for key in list(held):
             sums = held.pop(key)
             n = len(sums)
             if isinstance(key, str):
-                columns = ([True] * n, [key] * n, [None] * n, [k[:-1] for k in sums], [k[-1] for k in sums], list(sums.values()))
+                terms, marks = [k[:-1] for k in sums], [k[-1] for k in sums]
+                columns = (pa.repeat(True, n), pa.repeat(key, n), pa.nulls(n, pa.string()), terms, marks, list(sums.values()))
             else:
-                columns = ([False] * n, [key[0]] * n, [key[1]] * n, list(sums), [None] * n, list(sums.values()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, OCCURRENCES)], schema=OCCURRENCES)
+                columns = (pa.repeat(False, n), pa.repeat(key[0], n), pa.repeat(key[1], n), list(sums), pa.nulls(n, pa.int32()), list(sums.values()))
+            arrays = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, OCCURRENCES)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=OCCURRENCES)
 
     for part in slices(batches, "text"):
-        for lang, source, text in zip(*(part.column(c).to_pylist() for c in ("lang", "source", "text"))):
-            add_terms(term_counts(text.encode()), marked[lang], plain[lang, source])
+        langs = part.column("lang").to_pylist()
+        terms, starts = [], []
+        for lang, source, text in zip(langs, part.column("source").to_pylist(), part.column("text").to_pylist()):
+            starts.append(len(terms))
+            terms += read_terms(text.encode(), plain[lang, source])
+        keys = [term + _MARKS[mark] for term, mark in zip(terms, term_marks(terms, [s for s in starts if s < len(terms)]).tolist())]
+        for lang, a, b in zip(langs, starts, [*starts[1:], len(terms)]):
+            marked[lang].update(keys[a:b])
         for held in (marked, plain):
             if sum(map(len, held.values())) >= _HELD:
                 yield from rows(held)
@@ -136,9 +143,13 @@ def kept_terms(occurrences: DataFrame, least: int) -> DataFrame:
 
 
 def rate(count: str) -> Column:
-    """``1 + floor(10**9 * (count + 2) / (total + 2 * terms))`` in decimals, as long; null without terms."""
-    above = f"(cast({count} as decimal(20,0)) + 2) * 1000000000"
-    return F.expr(f"case when terms > 0 then 1 + ({above}) div (cast(total as decimal(20,0)) + 2 * terms) end")
+    """``1 + floor(10**9 * (count + 2) / (total + 2 * terms))`` as long; null without terms.
+
+    Longs hold the product for counts below nine thousand million, decimals beyond; both are exact.
+    """
+    small = f"(({count} + 2L) * 1000000000L) div (total + 2 * terms)"
+    large = f"((cast({count} as decimal(20,0)) + 2) * 1000000000) div (cast(total as decimal(20,0)) + 2 * terms)"
+    return F.expr(f"case when terms = 0 then null when {count} < 9000000000L then 1 + {small} else 1 + {large} end")
 
 
 def difference(p: str, q: str) -> Column:
@@ -156,11 +167,10 @@ def term_tables(docs: DataFrame, least: int = 10) -> tuple[DataFrame, DataFrame]
     schema = "marked boolean, lang string, source string, term binary, mark int, n long"
     stored = cut_lineage(read.mapInArrow(_occurrences, schema))
     marked = stored.filter("marked").select("lang", "term", "mark", F.col("n").alias("docs"))
-    kept = cut_lineage(kept_terms(marked, least).withColumn("id", F.monotonically_increasing_id()))
-    by_id = (
-        stored.filter("not marked").join(kept, ["lang", "term"]).groupBy("id", "source").agg(F.sum("n").alias("n"))
-    )
-    counts = cut_lineage(by_id.join(kept, "id").select("lang", "source", "term", "n"))
+    kept = kept_terms(marked, least)
+    # Added up before the join: the join then meets one row per language, source and term.
+    summed = stored.filter("not marked").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
+    counts = cut_lineage(summed.join(kept, ["lang", "term"], "left_semi").select("lang", "source", "term", "n"))
     per_lang = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     lang_totals = counts.groupBy("lang").agg(F.sum("n").alias("lang_total"))
@@ -176,13 +186,20 @@ def term_tables(docs: DataFrame, least: int = 10) -> tuple[DataFrame, DataFrame]
     return counts, cut_lineage(numbered)
 
 
-def telling_terms(counts: DataFrame, groups: DataFrame, most: int) -> DataFrame:
+def term_vectors(counts: DataFrame, groups: DataFrame) -> DataFrame:
+    """One written row per kept term: ``lang``, ``term``, ``n``, and ``x``, the places, counts and rates of the sources that have it."""
+    own = counts.join(groups.select("lang", "source", "at", "total", "terms"), ["lang", "source"])
+    own = own.select("lang", "term", "n", F.struct("at", rate("n").alias("p")).alias("x"))
+    return cut_lineage(own.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.collect_list("x").alias("x")))
+
+
+def telling_terms(vectors: DataFrame, groups: DataFrame, most: int) -> DataFrame:
     """The ``most`` terms of each group that it uses more often than its language does, by ``difference``."""
     langs = groups.select("lang", F.col("lang_total").alias("total"), "terms").distinct()
-    whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("n")).join(langs, "lang").withColumn("q", rate("n"))
-    own = counts.join(groups.select("lang", "source", "total", "terms"), ["lang", "source"]).withColumn("p", rate("n"))
-    both = own.select("lang", "source", "term", "p").join(whole.select("lang", "term", "q"), ["lang", "term"]).filter("p > q")
-    valued = both.select(
+    whole = vectors.join(langs, "lang").select("lang", "term", rate("n").alias("q"), F.explode("x").alias("x"))
+    above = whole.filter("x.p > q").select("lang", F.col("x.at").alias("at"), "term", F.col("x.p").alias("p"), "q")
+    named = above.join(groups.select("lang", "at", "source"), ["lang", "at"])
+    valued = named.select(
         "lang", "source", F.lit("term").alias("part"), F.col("term").cast("string").alias("item"), difference("p", "q").alias("value")
     )
     return ranked(valued).filter(F.col("rank") <= most)
@@ -237,21 +254,16 @@ _PAIRS_ARROW = pa.schema(
 )
 
 
-def source_pairs(counts: DataFrame, groups: DataFrame) -> DataFrame:
+def source_pairs(vectors: DataFrame, groups: DataFrame) -> DataFrame:
     """Every group against every other source of its language: the sum of ``difference`` over all kept terms.
 
     Sources are dealt into tiles and terms into lots, so a task holds one lot of terms for two tiles.  A term that no source of
     both tiles has adds the same amount each time; such terms are counted, not sent.
     """
-    known = groups.withColumns({"lacking": rate("0"), "lots": F.expr(f"terms div {TERMS} + 1"), "tiles": F.expr(f"(sources - 1) div {TILE} + 1")})
+    known = groups.withColumns({"lacking": rate("0L"), "lots": F.expr(f"terms div {TERMS} + 1"), "tiles": F.expr(f"(sources - 1) div {TILE} + 1")})
     pairs = F.expr("explode(flatten(transform(sequence(0, tiles - 1), i -> transform(sequence(i, tiles - 1), j -> named_struct('i', i, 'j', j)))))")
-    own = counts.join(known.select("lang", "source", "at", "total", "terms", "lots", "tiles"), ["lang", "source"])
-    vectors = (
-        own.select("lang", "term", "lots", "tiles", F.struct("at", rate("n").alias("p")).alias("x"))
-        .groupBy("lang", "term", "lots", "tiles")
-        .agg(F.collect_list("x").alias("x"))
-    )
-    sent = vectors.select("lang", F.expr("pmod(xxhash64(term), lots)").alias("lot"), "x", pairs.alias("t"))
+    sizes = known.select("lang", "lots", "tiles").distinct()
+    sent = vectors.join(sizes, "lang").select("lang", F.expr("pmod(xxhash64(term), lots)").alias("lot"), "x", pairs.alias("t"))
     sent = sent.withColumn("x", F.expr(f"filter(x, e -> e.at div {TILE} in (t.i, t.j))")).filter("size(x) > 0")
     sent = sent.select("lang", "lot", "t.i", "t.j", F.col("x.at").alias("at"), F.col("x.p").alias("p"))
     members = known.select("lang", "at", "lacking", "lots", pairs.alias("t")).filter(f"at div {TILE} in (t.i, t.j)")
@@ -275,4 +287,5 @@ def audit_sources(docs: DataFrame, least: int = 10, most: int = 10) -> DataFrame
     are ranked by item in order of code point.  An empty table gives no rows; other columns are not read.
     """
     counts, groups = term_tables(docs, least)
-    return source_pairs(counts, groups).unionByName(telling_terms(counts, groups, most))
+    vectors = term_vectors(counts, groups)
+    return source_pairs(vectors, groups).unionByName(telling_terms(vectors, groups, most))

@@ -171,11 +171,14 @@ def test_audit_with_more_sources_than_a_tile(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.text("abü", min_size=1, max_size=20), max_size=12), max_size=8))
+@given(st.lists(st.lists(st.text("abü", min_size=1, max_size=40), max_size=12), max_size=8))
 def test_marks_count_documents_of_every_prefix(docs):
-    sums, plain = {}, {}
+    sums, plain, terms, starts = Counter(), Counter(), [], []
     for words in docs:
-        divergence.add_terms(Counter(w.encode() for w in words), sums, plain)
+        starts.append(len(terms))
+        terms += divergence.read_terms(" ".join(words).encode(), plain)
+    marks = divergence.term_marks(terms, [s for s in starts if s < len(terms)])
+    sums.update(t + bytes([m]) for t, m in zip(terms, marks.tolist()))
     assert plain == Counter(w.encode() for words in docs for w in words)
     for level in range(5):
         size, want, got = 2 << level, Counter(), Counter()
@@ -188,7 +191,8 @@ def test_marks_count_documents_of_every_prefix(docs):
 
 def test_terms_are_the_same_in_pieces():
     text = ("Ab ü1" * 300_000 + "q" * 1_500_000 + " end").encode()
-    assert divergence.term_counts(text) == Counter(re.findall(rb"[a-z\x80-\xff]+", text.lower()))
+    plain, want = Counter(), Counter(re.findall(rb"[a-z\x80-\xff]+", text.lower()))
+    assert divergence.read_terms(text, plain) == sorted(want) and plain == want
 
 
 # ------------------------------------------------------------------ prefix trie
