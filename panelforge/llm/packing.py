@@ -91,13 +91,14 @@ class WordEncoder:
 
     The vocabulary never joins across white space, so texts are cut at spaces and line ends and words are remembered.
     Words of Latin letters and signs are split by the tokenizer's own pattern and handed to its merge model piece by piece;
-    any other word goes to the library whole.  ``limit`` bounds either cache, not the words.
+    any other word goes to the library whole.  ``limit`` bounds the entries of a generation of either cache, not the words: at
+    150,000 a worker holds some 70 MB of them, whatever it has read.
     """
 
     PLAIN = re.compile("[!-~¡-ɏ]+")
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value: the vocabulary's own pattern
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 150_000):
         import regex
         from tokenizers import Tokenizer
 
