@@ -2,10 +2,9 @@
 
 A document is the sequence of its words.  Winnowing gives each window of ``length`` words an anchor, the smallest hash among its
 word ``k``-grams, so windows with the same words have the same anchor.  Seeds are anchors that occur in more than one place:
-documents are joined on them.  Around every seed the match is extended word by word to both sides, to all windows of
-``length`` words that have the seed as anchor; windows that occur elsewhere are found by their digests, and neighbouring ones
-join into maximal repeats, none shorter than ``length`` words.  The earliest occurrence of a window stays, words under any
-later one go.
+documents meet on them.  Around every seed lie the windows that have it as anchor, to both sides; those that occur elsewhere are found
+by digests of all their words, 96 bits from 128 bits a word, and neighbouring ones join into maximal repeats, none shorter than ``length``
+words.  The earliest occurrence of a window stays, words under any later one go.
 
 Documents with the same words as an earlier one are settled whole beforehand.  A window's occurrences are reduced to the
 earliest of a task before they are shuffled, so a passage in a third of all documents is a few rows per task and word, and
@@ -19,25 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm.text import filled, slices
 from panelforge.session import cut_lineage
 
-_BASE, _STEP, _OTHER = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7
-_MASK = (1 << 64) - 1
-_POWERS = {"n": 0}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64, kept for the texts that follow."""
-    if _POWERS["n"] < n:
-        size = max(n, 1 << 16)
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _POWERS.update(n=size, up=np.multiply.accumulate(up), down=np.multiply.accumulate(down))
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+_STEP, _OTHER = 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -47,16 +35,8 @@ def _mixed(values: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash per word: a polynomial in its bytes, by differences of one running sum."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    data = np.frombuffer(b"".join(words), np.uint8)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-    starts = np.r_[0, ends[:-1]]
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    return _mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """128 bits per word (XXH3), as two columns of 64."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
 
 
 def _rolled(hashes: np.ndarray, width: int, factor: int) -> np.ndarray:
@@ -97,8 +77,9 @@ def seed_runs(hashes: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.n
 
 
 def window_keys(hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """96 bits of digest per window."""
-    return _rolled(hashes, length, _STEP).view(np.int64), (_rolled(hashes, length, _OTHER) >> np.uint64(32)).astype(np.int32)
+    """96 bits of digest per window; each part comes from a half of the words' hashes of its own."""
+    one, two = _rolled(hashes[:, 0], length, _STEP), _rolled(hashes[:, 1], length, _OTHER)
+    return one.view(np.int64), (two >> np.uint64(32)).astype(np.int32)
 
 
 def split_words(text: str) -> list[bytes]:
@@ -114,7 +95,7 @@ def _seed(length: int, k: int):
                 counts.append(len(words))
                 digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 if len(words) >= length:
-                    runs = seed_runs(word_hashes(words), length, k)
+                    runs = seed_runs(word_hashes(words)[:, 0], length, k)
                 else:
                     runs = np.zeros(0, np.int64), np.zeros(1, np.int32), np.zeros(0, np.int32)
                 for column, values in zip((found, starts, times), runs):
