@@ -1,12 +1,13 @@
 """Main text of web pages, with site templates removed.
 
-Every page is read into a tree.  Elements that hold no article text by their tag, role or class go.  What a site repeats goes too:
-the subtrees of each page are hashed, Spark counts the different pages per host and hash, and subtrees that recur on many of
-them are deleted.  Article and main elements, and the plain paragraphs inside them, are never taken for
-template: a passage that many articles quote stays.
+Every page is read into a tree, and every subtree gets a hash of its tags and texts; attributes and link targets play no part, so a menu is
+the same on each page whatever it marks as current.  Spark counts the different pages of a host that hold a subtree, and those on many
+of them are deleted with all that is in them.  Article and main elements, and the plain paragraphs inside them, are never
+taken for template: a passage that many articles quote stays.  What is left then goes by its tag, role or class where these say
+that it is no article text, so pages of small hosts lose their menus and comments too.
 
 What moves of a page for the counts is its hash and those of its subtrees; pages are grouped by host and page hash, so copies of a page
-are one and a host with a third of all pages is many groups.  Pages themselves are joined to their host's few template hashes and do not move while those fit a broadcast.
+are one and a host with a third of all pages is many groups.  Pages themselves are joined to their host's template hashes and do not move while those fit a broadcast.
 """
 
 from __future__ import annotations
@@ -61,7 +62,19 @@ _KEYS = (
     "|subscription|side-?bars?|menus?|nav|navbar|navigation|breadcrumbs?|masthead|site-?header|page-?header|topbar|footers?|comments?"
     "|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommend\\w*|widgets?|toolbar|skip-?links?|login|signup|searchbox|pagination|pager"
 )
-NO_TEXT_CLASS = re.compile(rf"^(?!(?:has|with|no|without)[-_])(?:\w+[-_])*(?:{_KEYS})(?:[-_]\w+)*$|^header$", re.I)
+_BEFORE = (
+    "site|page|main|post|entry|article|content|top|bottom|left|right|header|footer|global|primary|secondary|sticky|fixed|mobile|desktop"
+    "|wp|blog|user|reader|email|google|js|inline"
+)
+_AFTER = (
+    "list|box|container|wrapper|wrap|area|sections?|bar|block|panel|links?|buttons?|btn|icons?|form|items?|body|content|inner|outer|title"
+    "|header|heading|holder|unit|slot|message|text|top|bottom|left|right|main|primary|secondary|posts|articles|stories|tools?|count|thread"
+    "|feed|stream|[a-z]*\\d+"
+)
+#: A class or id made of nothing but such words; "related-work" or "share-price" is none.
+NO_TEXT_CLASS = re.compile(rf"^(?:(?:{_BEFORE})[-_])*(?:{_KEYS})(?:[-_](?:{_AFTER}|{_KEYS}))*$|^header$", re.I)
+#: The classes of an article element that make it a reader's comment.
+COMMENT_CLASS = re.compile(r"^(?:(?:wp|user|reader|blog)[-_])*(?:comments?|repl(?:y|ies)|disqus)(?:[-_](?:body|item|content|text|thread|list|\d+))*$", re.I)
 ATTRIBUTE = re.compile(r"""(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
 HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
 NEVER_TEMPLATE = frozenset("html body article main".split())
@@ -69,10 +82,10 @@ PROSE = frozenset("p blockquote pre li dd dt figcaption td th tr tbody".split())
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "start", "end")
+    __slots__ = ("tag", "attributes", "children", "start", "end", "digest")
 
     def __init__(self, tag: str, attributes: str, start: int):
-        self.tag, self.attributes, self.start, self.end = tag, attributes, start, start
+        self.tag, self.attributes, self.start, self.end, self.digest = tag, attributes, start, start, 0
         self.children: list = []
 
 
@@ -135,10 +148,14 @@ def holds_no_text(node: Node, inside: bool) -> bool:
     """Whether tag, role, class or style say that a node is not article text; ``inside`` an article element or not."""
     if node.tag in NO_TEXT or node.tag == "header" and not inside:
         return True
-    if not node.attributes or node.tag in NEVER_TEMPLATE:
+    if not node.attributes or node.tag in NEVER_TEMPLATE and node.tag != "article":
         return False
     for name, *values in ATTRIBUTE.findall(node.attributes):
         name, value = name.lower(), values[0] or values[1] or values[2]
+        if node.tag == "article":
+            if name == "class" and any(map(COMMENT_CLASS.match, value.split())):
+                return True
+            continue
         if name in ("class", "id"):
             if node.tag not in HEADINGS and any(map(NO_TEXT_CLASS.match, value.split())):
                 return True
@@ -162,16 +179,22 @@ def nodes(root: Node) -> Iterator[tuple[Node, bool]]:
         todo += [(c, inside) for c in reversed(node.children) if isinstance(c, Node)]
 
 
-def markup_hash(markup: str) -> int:
-    """Signed 64-bit hash of markup, white space made alike."""
-    from xxhash import xxh64_intdigest
-
-    value = xxh64_intdigest(" ".join(markup.split()).encode("utf-8", "surrogatepass"))
-    return value - (1 << 64) if value >> 63 else value
+def hash_subtrees(root: Node) -> None:
+    """Give every node below ``root`` its ``digest``: a signed 64-bit hash of its tag, its texts and its children's digests.
 
+    White space is made alike, attributes are left out.  One pass from the leaves up, so the work is that of reading the page.
+    """
+    from xxhash import xxh64_intdigest
 
-def subtree_hash(page: str, node: Node) -> int:
-    return markup_hash(page[node.start : node.end])
+    for node, _ in reversed(list(nodes(root))):
+        parts = [node.tag]
+        for child in node.children:
+            if isinstance(child, Node):
+                parts.append(f"<{child.digest}>")
+            elif words := child.split():
+                parts.append(f" {' '.join(words)} ")
+        value = xxh64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass"))
+        node.digest = value - (1 << 64) if value >> 63 else value
 
 
 def may_be_template(node: Node, inside: bool) -> bool:
@@ -188,26 +211,33 @@ def page_key(page: str) -> bytes:
 
 
 def subtree_hashes(page: str) -> set[int]:
-    """Hashes of the subtrees of a page that could be template and that tag or class do not already remove."""
-    found, skip = set(), -1
-    for node, inside in nodes(parse(page)):
-        if node.start < skip:
-            continue
-        if holds_no_text(node, inside):
-            skip = node.end
-        elif may_be_template(node, inside):
-            found.add(subtree_hash(page, node))
-    return found
+    """Hashes of all subtrees of a page that may be template."""
+    root = parse(page)
+    hash_subtrees(root)
+    return {node.digest for node, inside in nodes(root) if may_be_template(node, inside)}
 
 
 def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
-    """The blocks of the main text, joined by two line ends: of the article elements if there are any, else main, else all."""
+    """The blocks of the main text, joined by two line ends: of the article elements if there are any, else main, else all.
+
+    Subtrees in ``template`` go first, then those that tag, role or class rule out, with all articles in them.
+    """
     root = parse(page)
+    if template:
+        hash_subtrees(root)
+
+    def goes(node: Node, inside: bool) -> bool:
+        return may_be_template(node, inside) and node.digest in template or holds_no_text(node, inside)
+
     tops: list[Node] = []
     for wanted in ("article", "main"):
         last = -1
-        for node, _ in nodes(root):
-            if node.tag == wanted and node.start >= last and not holds_no_text(node, False):
+        for node, inside in nodes(root):
+            if node.start < last:
+                continue
+            if goes(node, inside):
+                last = node.end
+            elif node.tag == wanted:
                 tops.append(node)
                 last = node.end
         if tops:
@@ -230,10 +260,7 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
                 flush()
             elif isinstance(node, str):
                 held.append(node)
-            elif node is not top and (
-                holds_no_text(node, inside)
-                or template and may_be_template(node, inside) and subtree_hash(page, node) in template
-            ):
+            elif node is not top and goes(node, inside):
                 continue
             elif node.tag in ("br", "td", "th"):
                 held.append(" ")
@@ -268,10 +295,12 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def site_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.3) -> DataFrame:
-    """``host`` and ``hashes``: subtrees on at least ``min_pages`` different pages and ``min_share`` of the different pages of their host.
+def site_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.3, per_root: float = 10.0) -> DataFrame:
+    """``host`` and ``hashes``: subtrees that recur on many different pages of their host.
 
-    Copies of a page are one page.  By the share, a host has no more of them than a few times the elements of one of its pages.
+    Many are ``min_pages`` at least, and ``min_share`` of the host's ``n`` different pages or ``per_root`` times the root of ``n``, whichever is
+    less: a block that one part of a large host repeats is found without being on a third of all its pages.  Copies of a page
+    are one page.  A host of ``n`` pages has at most root of ``n`` over ``per_root`` times as many template hashes as a page has elements.
     """
     rows = pages.select(host(F.col("url")).alias("_host"), filled("html").alias("_html"))
     found = rows.mapInArrow(_subtrees, "host string, page binary, subtrees array<long>")
@@ -279,7 +308,8 @@ def site_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.3)
     total = different.groupBy("host").agg(F.count(F.lit(1)).alias("all_pages"))
     counts = different.select("host", F.explode("subtrees").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("pages"))
     often = counts.filter(F.col("pages") >= min_pages).join(total, "host")
-    often = often.filter(F.col("pages") >= min_share * F.col("all_pages"))
+    enough = F.least(min_share * F.col("all_pages"), per_root * F.sqrt("all_pages"))
+    often = often.filter(F.col("pages") >= enough)
     return often.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
 
 
@@ -295,7 +325,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.3) -> DataFrame:
     """``page_id``, ``url``, ``text`` of every page; null or empty html gives an empty text, a null url is the host ''.
 
-    Copies of a page count once for the templates of its host; an empty table gives no rows; other columns are not read.
+    Copies of a page count once for the templates of its host; an empty table gives no rows; other columns are not read.  Pages of any
+    length and depth are read as a whole, in time that grows with the page.
     """
     templates = cut_lineage(site_templates(pages, min_pages, min_share))
     rows = pages.select(
