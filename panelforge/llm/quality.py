@@ -129,10 +129,14 @@ def fit(
     sample_rows: int = 20_000,
     trees: int = 30,
     depth: int = 3,
+    min_rows: int = 5,
     penalty: float = 0.001,
     seed: int = 7,
 ) -> RuleModel:
-    """Trees, then lasso weights of their rules.  Without both classes the score is constant: the share of label 1, or a half."""
+    """Trees, then lasso weights of their rules.  Without both classes the score is constant: the share of label 1, or a half.
+
+    ``min_rows`` is the fewest labelled rows that a leaf of a tree may hold, whatever their number.
+    """
     spark = docs.sparkSession
     local = labelled_sample(docs, labels, label, sample_rows).toPandas().sort_values("doc_id")
     if local["_label"].nunique() < 2:
@@ -142,7 +146,7 @@ def fit(
     assembled = VectorAssembler(inputCols=NAMES, outputCol="features").transform(sample)
     forest = RandomForestClassifier(
         labelCol="_label", numTrees=trees, maxDepth=depth, subsamplingRate=0.7, featureSubsetStrategy="onethird",
-        minInstancesPerNode=20 if len(local) > 2000 else 5, maxBins=64, seed=seed,
+        minInstancesPerNode=min_rows, maxBins=64, seed=seed,
     ).fit(assembled)
     rules = tree_rules(forest.toDebugString, NAMES)
     names = [f"r{i}" for i in range(len(rules))]
