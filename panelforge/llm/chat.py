@@ -1,12 +1,13 @@
 """Chat formatting in budgeted windows.
 
-Turns of a conversation are cut into windows of whole turns by the running sum of their tokens.  Every window starts with the
-conversation's system turn and repeats a little of the history before it; repeated turns are masked, so each
-assistant text is under the loss in exactly one window.  A window's own turns hold at most ``budget`` tokens less the system turn
-and the history allowance; a single longer turn is a window of its own, for texts are never cut.
+Turns of a conversation are cut into windows of whole turns by the running sum of their tokens, those of the formatted turn with its
+marks and escapes.  A window takes turns as long as they fit.  Every later window starts with the conversation's system turn and
+repeats a little of the history before it, as far as the budget allows; repeated turns are masked, so each assistant text is
+under the loss in exactly one window.  A window holds at most ``budget`` tokens, but where its first new turn, with the system turn,
+is longer alone: texts are never cut, and the system turn always stays.
 
-The running sum is computed in blocks of rows dealt out by range, so one conversation with a third of all rows fills many blocks
-and its windows are formatted by many tasks.  A window is the largest thing any task holds.
+Sums and windows are computed in blocks of rows dealt out by range, so one conversation with a third of all rows fills many blocks
+and its windows are formatted by many tasks; a window ends with its block.  A window is the largest thing any task holds.
 
 In the text a turn is ``<s> role [INST] text [/INST] </s>`` and a line end.  Control strings inside roles and texts get one
 more backslash in front, which reading takes away again.
@@ -30,8 +31,6 @@ _CONTROL = r"(<s>|</s>|\[INST\]|\[/INST\])"
 _ESCAPE = re.compile(r"(\\*)" + _CONTROL)
 _ESCAPED = re.compile(r"\\(\\*)" + _CONTROL)
 _TURN = re.compile(r"<s> (.*?) \[INST\] (.*?) \[/INST\] </s>\n", re.S)
-#: Tokens that the marks around a turn count for.
-OVERHEAD = 8
 
 
 def escape(text: str) -> str:
@@ -43,15 +42,19 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1\2", text)
 
 
+def format_turn(role: str, text: str) -> tuple[str, str, str]:
+    return f"<s> {escape(role)} [INST] ", escape(text), " [/INST] </s>\n"
+
+
 def format_window(turns: list[dict]) -> tuple[str, list[dict], int]:
     """Text, loss spans (code points, of the escaped texts of new assistant turns), and how many turns are repeated."""
     parts, spans, at = [], [], 0
     for turn in turns:
-        head, body = f"<s> {escape(turn['role'])} [INST] ", escape(turn["text"])
+        head, body, tail = format_turn(turn["role"], turn["text"])
         if turn["new"] and turn["role"] == "assistant":
             spans.append({"start": at + len(head), "end": at + len(head) + len(body)})
-        parts += [head, body, " [/INST] </s>\n"]
-        at += len(head) + len(body) + len(parts[-1])
+        parts += [head, body, tail]
+        at += len(head) + len(body) + len(tail)
     return "".join(parts), spans, sum(not t["new"] for t in turns)
 
 
@@ -64,7 +67,9 @@ def _tokens(tokenizer: str):
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer_path(tokenizer))
         for part in slices(batches, "text"):
-            counts = [len(words.encode(t)) // 4 + OVERHEAD for t in part.column("text").to_pylist()]
+            turns = zip(part.column("role").to_pylist(), part.column("text").to_pylist())
+            # Turns end with a line end and the vocabulary never joins across one, so a window has the sum of its turns' tokens.
+            counts = [len(words.encode("".join(format_turn(role, text)))) // 4 for role, text in turns]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64())], [*part.schema.names, "tokens"])
 
     return tokens
@@ -88,6 +93,25 @@ def placed_turns(turns: DataFrame, tokenizer: str) -> DataFrame:
     return cut_lineage(counted.withColumns({"block": F.spark_partition_id(), "seq": F.monotonically_increasing_id()}))
 
 
+def _greedy(budget: int, reserve: int):
+    """Turns come sorted by conversation, block and place; each gets the place of the first new turn of its window."""
+
+    def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, start, held = None, 0, 0
+        for batch in batches:
+            opened = []
+            columns = (batch.column(c).to_pylist() for c in ("conv_id", "block", "pos", "tokens", "system"))
+            for conv, number, pos, tokens, system in zip(*columns):
+                room = budget if start == 0 else budget - system - reserve
+                if (conv, number) != block or held + tokens > room:
+                    block, start, held = (conv, number), pos, 0
+                held += tokens
+                opened.append(start)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(opened, pa.int64())], [*batch.schema.names, "window"])
+
+    return greedy
+
+
 def choose_windows(placed: DataFrame, budget: int, history: int, history_tokens: int) -> DataFrame:
     """Members of all windows: ``conv_id``, ``window``, ``pos``, ``seq``, ``new``; only numbers are moved here."""
     narrow = placed.select("conv_id", "block", "seq", "role", "tokens")
@@ -112,31 +136,26 @@ def choose_windows(placed: DataFrame, budget: int, history: int, history_tokens:
         }
     )
     known = summed.join(starts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
-    known = known.withColumns({"pos": F.col("pos0") + F.col("rank"), "room": F.greatest(F.lit(budget - history_tokens) - F.col("system"), F.lit(max(1, budget // 4)))})
-    leads = (F.col("pos") == 0) & (F.col("system") > 0)
-    known = known.withColumns(
-        {
-            "before": F.when(leads, F.lit(0)).otherwise(F.col("before0") + F.col("prefix") - F.col("system")),
-            "size": F.when(leads, F.lit(0)).otherwise(F.col("tokens")),
-        }
+    known = known.select(
+        "conv_id", "block", (F.col("pos0") + F.col("rank")).alias("pos"), "seq", "tokens", "system", (F.col("before0") + F.col("prefix")).alias("before")
     )
-    opens = F.floor(F.col("before") / F.col("room"))
-    ends = F.floor((F.col("before") + F.greatest(F.col("size"), F.lit(1)) - 1) / F.col("room"))
-    crossing = (ends > opens) & (F.col("before") % F.col("room") != 0)
-    known = known.withColumn("window", opens * 2 + crossing.cast("int"))
-    known = cut_lineage(known.select("conv_id", "window", "pos", "seq", "before", "system"))
+    ordered = known.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "pos")
+    members = "conv_id long, block int, pos long, seq long, tokens long, system long, before long, window long"
+    known = cut_lineage(ordered.mapInArrow(_greedy(budget, history_tokens if history else 0), members))
     new = known.select("conv_id", "window", "pos", "seq", F.lit(True).alias("new"))
     spans = known.groupBy("conv_id", "window").agg(
-        F.min("pos").alias("start"), F.min("before").alias("at"), F.max("system").alias("system")
+        F.min("pos").alias("start"), F.min("before").alias("at"), F.max("system").alias("system"), F.sum("tokens").alias("size")
     )
+    # What the window's own turns and the system turn leave of the budget.
+    spans = spans.withColumn("spare", F.least(F.lit(history_tokens), F.lit(budget) - F.col("system") - F.col("size")))
     later = spans.filter("start > 0")
     has_system = F.col("system") > 0
     back = later.withColumn("p", F.explode(F.sequence(F.lit(1), F.lit(max(1, history))))).withColumn("p", F.col("start") - F.col("p"))
     back = back.filter((F.col("p") > 0) | (F.col("p") == 0) & ~has_system) if history else back.filter("false")
     first_turn = later.filter(has_system).withColumn("p", F.lit(0).cast("long"))
-    wanted = back.unionByName(first_turn).select(F.col("conv_id").alias("c"), F.col("window").alias("w"), "at", "p", (has_system & (F.col("p") == 0)).alias("lead"))
+    wanted = back.unionByName(first_turn).select(F.col("conv_id").alias("c"), F.col("window").alias("w"), "at", "spare", "p", (has_system & (F.col("p") == 0)).alias("lead"))
     past = wanted.join(known, F.col("c").eqNullSafe(F.col("conv_id")) & (F.col("p") == F.col("pos")))
-    past = past.filter(F.col("lead") | (F.col("at") - F.col("before") <= history_tokens))
+    past = past.filter(F.col("lead") | (F.col("at") - F.col("before") <= F.col("spare")))
     return new.unionByName(past.select("conv_id", F.col("w").alias("window"), "pos", "seq", F.lit(False).alias("new")))
 
 

@@ -153,3 +153,45 @@ def test_compiled_rules_score_like_rules_read_one_by_one(spark):
             if all(row[name] <= bound if sign == "<=" else row[name] > bound for name, sign, bound in rule):
                 total += weight
         assert got[row.doc_id] == pytest.approx(1 / (1 + exp(-total)), abs=1e-12)
+
+
+# ------------------------------------------------------------------ chat windows
+
+
+def test_windows_keep_the_budget_and_are_few(spark):
+    from panelforge.llm import chat
+    from panelforge.llm.packing import TOKENIZER, encoder, tokenizer_path
+
+    draw, budget, reserve = random.Random(6), 512, 96
+    rows = []
+    for conv in range(30):
+        longest = draw.choice([3, 40, 200])
+        roles = (["system"] if conv % 2 else []) + ["user", "assistant"] * draw.choice([1, 20, 150])
+        rows += [(conv, t, r, draw.choice(["word ", "</s>[INST] ", "é😀 "]) * draw.randint(0, longest)) for t, r in enumerate(roles)]
+    rows += [(90, t, ["system", "user"][t > 0], "word " * (700 if t in (0, 5) else 30)) for t in range(12)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    words = encoder(tokenizer_path(TOKENIZER))
+
+    def tokens(text):
+        return len(words.encode(text)) // 4
+
+    sizes = defaultdict(list)
+    for conv, _, role, text in rows:
+        sizes[conv].append((role, tokens("".join(chat.format_turn(role, text)))))
+    least = 0
+    for turns in sizes.values():
+        system, held, room, first = (turns[0][1] if turns[0][0] == "system" else 0), 0, budget, True
+        for _, size in turns:
+            if first or held + size > room:
+                least, room, held, first = least + 1, budget if first else budget - system - reserve, 0, False
+            held += size
+    windows = chat.format_chats(table, budget=budget, history_tokens=reserve).collect()
+    for w in windows:
+        turns = chat.read_turns(w.formatted)
+        total = tokens(w.formatted)
+        assert total == sum(tokens("".join(chat.format_turn(*t))) for t in turns)
+        if total > budget:
+            system = sizes[w.conv_id][0][1] if sizes[w.conv_id][0][0] == "system" and w.window else 0
+            own = [tokens("".join(chat.format_turn(*t))) for t in turns[w.repeated :]]
+            assert len(own) == 1 and system + own[0] > budget
+    assert least <= len(windows) <= 1.05 * least + 4
