@@ -20,6 +20,7 @@ from panelforge.plans.catalog import (
     NEWEST,
     ORACLES,
     _landing,
+    _requests,
     _scratch,
     _selected,
     _windows,
@@ -31,7 +32,7 @@ from panelforge.plans.catalog import (
     stored_wide,
 )
 from panelforge.session import cut_lineage
-from panelforge.sources import feature_store, sinks, snapshots, tables
+from panelforge.sources import feature_store, point_store, sinks, snapshots, tables
 from panelforge.sources.ingest_job import ingest_landed
 from panelforge.streaming import scoring as stream_scoring
 from panelforge.streaming.ingest import append_stream, revisions, stream_pages
@@ -74,6 +75,15 @@ def _(spark, sf_dir):
     )
 
 
+@query("point_lookup", ORACLES["row_lookup"])
+def _(spark, sf_dir):
+    """Requests against a store that is laid out for them."""
+    path = _scratch(spark, "points")
+    point_store.write_points(feature_table(spark, sf_dir), path)
+    out = point_store.lookup_points(spark, path, _requests(spark, sf_dir))
+    return out.select("respondent", "requested_date", "target_date", "found", "target", "demand_t")
+
+
 # ------------------------------------------------------------------ sketches and tests
 
 

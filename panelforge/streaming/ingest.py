@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,24 +56,35 @@ def drop_repeats(df: DataFrame, key: list[str] = REVISION, time: str = "period",
     return stamped.withWatermark("event_ts", lookback).dropDuplicatesWithinWatermark(key)
 
 
+_KNOWN = "days array<date>, held array<boolean>, numbers array<double>"
+
+
 def _changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows of one key, in order of ingest, whose value is not the one before; the last value is the key's state."""
+    """Rows of one entity, type and month, in order of ingest, whose value is not their day's last one.
+
+    The state is the last value of each day of the month; ``held`` tells a missing value from a number.
+    """
     if state.hasTimedOut:
         state.remove()
         return
-    rows = pd.concat(list(frames)).sort_values(["_ingested_at", "value"], kind="stable", na_position="first")
-    known, last = state.exists, state.get[0] if state.exists else None
-    kept = []
-    for value in rows["value"]:
-        value = None if pd.isna(value) else value
-        kept.append(not known or value != last)
-        known, last = True, value
-    state.update((last,))
-    if key[0] is not None:
-        # Rows of this day are late from here on, so nothing can be compared with the state any more.
-        ends = int(pd.Timestamp(key[0]).timestamp() + 86_400) * 1000
+    rows = pd.concat(list(frames)).sort_values(["period", "_ingested_at", "value"], kind="stable", na_position="first")
+    day, value = rows["period"].to_numpy(), rows["value"].to_numpy(dtype=float, na_value=np.nan)
+    known = {d: (x if h else np.nan) for d, h, x in zip(*state.get)} if state.exists else {}
+    first = np.r_[True, day[1:] != day[:-1]]
+    before = np.r_[np.nan, value[:-1]]
+    before[first] = [known.get(d, np.nan) for d in day[first]]
+    unknown = np.zeros(len(rows), bool)
+    unknown[first] = [d not in known for d in day[first]]
+    same = (value == before) | (np.isnan(value) & np.isnan(before))
+    last = np.r_[first[1:], True]
+    known |= dict(zip(day[last], value[last]))
+    days = sorted(d for d in known if d is not None)
+    if days:
+        state.update((days, [not np.isnan(known[d]) for d in days], [0.0 if np.isnan(known[d]) else float(known[d]) for d in days]))
+        # Rows of this month are late from then on, so nothing can be compared with the state any more.
+        ends = int(pd.Timestamp(days[-1]).timestamp() + 86_400) * 1000
         state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-    rows = rows[pd.Series(kept, index=rows.index).to_numpy()]
+    rows = rows[unknown | ~same]
     if len(rows):
         yield rows
 
@@ -82,9 +94,10 @@ def revisions(df: DataFrame, lookback: str = LOOKBACK) -> DataFrame:
 
     A row seen again, in the same batch or a later one, goes no further, whatever its ingest time; a value that changes and
     changes back is two revisions.  A missing value is a value here.  Rows older than ``lookback`` behind the newest period
-    are late and dropped, and so is the state of their keys.
+    are late and dropped, and so is the state of their days.  Rows without a period are compared within their batch only.
 
-    A batch gives the same rows from one ordered comparison per key.
+    A group is an entity's month of one type, so a batch of any entity is spread over its months.  Without a stream the same rows
+    come from one ordered comparison per key.
     """
     if not df.isStreaming:
         by_key = Window.partitionBy(*KEY).orderBy(F.col("_ingested_at").asc_nulls_first(), F.col("value").asc_nulls_first())
@@ -92,10 +105,11 @@ def revisions(df: DataFrame, lookback: str = LOOKBACK) -> DataFrame:
         changed = df.withColumn("_changed", (number == 1) | ~F.col("value").eqNullSafe(before))
         return changed.filter("_changed").drop("_changed")
     stamped = df.withColumn("event_ts", F.col("period").cast("timestamp")).withWatermark("event_ts", lookback)
-    changed = stamped.groupBy(*KEY).applyInPandasWithState(
-        _changes, stamped.schema, "value double", "append", GroupStateTimeout.EventTimeTimeout
+    placed = stamped.withColumn("_month", F.trunc("period", "month"))
+    changed = placed.groupBy("respondent", "type", "_month").applyInPandasWithState(
+        _changes, placed.schema, _KNOWN, "append", GroupStateTimeout.EventTimeTimeout
     )
-    return changed.drop("event_ts")
+    return changed.drop("event_ts", "_month")
 
 
 def upsert_stream(
