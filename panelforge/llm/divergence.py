@@ -1,6 +1,6 @@
 """Source divergence audit: how far the sources of a language differ in the words they use, and by which words.
 
-Which terms count is found by iceberg prefix refinement.  Terms are taken as UTF-8 bytes.  Level by level their prefixes of 2, 4, 8, ...
+Which terms count is found by iceberg prefix refinement.  Terms are taken as UTF-8 bytes.  Level by level their prefixes of 4, 8, 16, ...
 bytes are counted by documents; a prefix in too few documents is discarded with all terms below it, and only what is left
 is extended to the next level, until all that is left are whole terms.  The number of documents of a prefix is never less
 than that of any longer one, so nothing is lost, and the long tail of rare terms is gone after a few short prefixes.
@@ -31,11 +31,12 @@ from panelforge.session import cut_lineage
 #: In lower-cased UTF-8: runs of letters a-z and bytes of other characters than ASCII.
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 _GAP = re.compile(rb"[^a-z\x80-\xff]")
-FIRST_LEVEL = 2
+FIRST_LEVEL = 4
 _PIECE, _HELD = 1 << 20, 1 << 20
-_MARKS, _HEAD = [bytes((i,)) for i in range(64)], 16
+#: Bytes of a term that are compared in bulk, and the level whose prefix they are.
+_MARKS, _HEAD, _FULL = [bytes((i,)) for i in range(64)], FIRST_LEVEL << 2, 2
 #: The level at which surviving terms are added up over all tasks: prefixes of 4 bytes have been cut, 8 are next.
-_JOINED_AT = 2
+_JOINED_AT = 1
 #: Sources per tile of the pair sums, terms per task of them.
 TILE, TERMS = 256, 1 << 14
 
@@ -73,11 +74,11 @@ def term_marks(terms: list[bytes], starts: list[int]) -> np.ndarray:
     heads = np.array(terms, dtype=f"S{_HEAD}").view(np.uint8).reshape(-1, _HEAD)
     differs = heads[1:] != heads[:-1]
     shared = np.r_[0, np.where(differs.any(axis=1), differs.argmax(axis=1), _HEAD)]
-    marks = np.searchsorted([FIRST_LEVEL << i for i in range(4)], shared, side="right")
+    marks = np.searchsorted([FIRST_LEVEL << i for i in range(_FULL + 1)], shared, side="right")
     marks[starts] = 0
     shared[starts] = 0
     for i in np.flatnonzero(shared == _HEAD).tolist():
-        size, mark = _HEAD, 3
+        size, mark = _HEAD, _FULL
         while terms[i - 1][:size] == terms[i][:size]:
             size, mark = 2 * size, mark + 1
         marks[i] = mark
@@ -142,14 +143,14 @@ def kept_terms(occurrences: DataFrame, least: int) -> DataFrame:
         size, level = 2 * size, level + 1
 
 
-def rate(count: str) -> Column:
-    """``1 + floor(10**9 * (count + 2) / (total + 2 * terms))`` as long; null without terms.
+def rate(count: str, total: str = "total", terms: str = "terms") -> str:
+    """SQL of ``1 + floor(10**9 * (count + 2) / (total + 2 * terms))`` as long; null without terms.
 
     Longs hold the product for counts below nine thousand million, decimals beyond; both are exact.
     """
-    small = f"(({count} + 2L) * 1000000000L) div (total + 2 * terms)"
-    large = f"((cast({count} as decimal(20,0)) + 2) * 1000000000) div (cast(total as decimal(20,0)) + 2 * terms)"
-    return F.expr(f"case when terms = 0 then null when {count} < 9000000000L then 1 + {small} else 1 + {large} end")
+    small = f"(({count} + 2L) * 1000000000L) div ({total} + 2 * {terms})"
+    large = f"((cast({count} as decimal(20,0)) + 2) * 1000000000) div (cast({total} as decimal(20,0)) + 2 * {terms})"
+    return f"case when {terms} = 0 then null when {count} < 9000000000L then 1 + {small} else 1 + {large} end"
 
 
 def difference(p: str, q: str) -> Column:
@@ -158,24 +159,23 @@ def difference(p: str, q: str) -> Column:
 
 
 def term_tables(docs: DataFrame, least: int = 10) -> tuple[DataFrame, DataFrame]:
-    """``(counts, groups)``, both written.
+    """``(terms, groups)``, both written.
 
-    ``counts``: ``lang``, ``source``, ``term``, ``n`` for kept terms that occur there.  ``groups``: every ``lang`` and ``source``
-    with ``at`` (its number within the language), ``total`` and ``lang_total`` (occurrences of kept terms), ``terms`` (kept in the language), ``sources``.
+    ``terms``: one row per kept term with ``lang``, ``term``, ``n`` (occurrences) and ``x``, those by source.  ``groups``: every ``lang`` and
+    ``source`` with ``at`` (its number within the language), ``total`` and ``lang_total`` (occurrences of kept terms), ``terms`` (kept in the
+    language), ``sources``.
     """
     read = docs.select(filled("lang").alias("lang"), filled("source").alias("source"), filled("text").alias("text"))
     schema = "marked boolean, lang string, source string, term binary, mark int, n long"
     stored = cut_lineage(read.mapInArrow(_occurrences, schema))
-    marked = stored.filter("marked").select("lang", "term", "mark", F.col("n").alias("docs"))
-    kept = kept_terms(marked, least)
-    # Added up before the join: the join then meets one row per language, source and term.
+    kept = kept_terms(stored.filter("marked").select("lang", "term", "mark", F.col("n").alias("docs")), least)
+    # Added up by source first: the join and the lists then meet one row per language, term and source.
     summed = stored.filter("not marked").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
-    counts = cut_lineage(summed.join(kept, ["lang", "term"], "left_semi").select("lang", "source", "term", "n"))
-    per_lang = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    lang_totals = counts.groupBy("lang").agg(F.sum("n").alias("lang_total"))
-    groups = read.select("lang", "source").distinct().join(totals, ["lang", "source"], "left")
-    groups = groups.join(per_lang, "lang", "left").join(lang_totals, "lang", "left")
+    listed = summed.join(kept, ["lang", "term"], "left_semi").groupBy("lang", "term")
+    terms = cut_lineage(listed.agg(F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("x")))
+    totals = terms.select("lang", F.inline("x")).groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    per_lang = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("lang_total"))
+    groups = read.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(per_lang, "lang", "left")
     groups = groups.fillna(0, ["total", "terms", "lang_total"])
     numbered = groups.withColumns(
         {
@@ -183,21 +183,26 @@ def term_tables(docs: DataFrame, least: int = 10) -> tuple[DataFrame, DataFrame]
             "sources": F.count(F.lit(1)).over(Window.partitionBy("lang")),
         }
     )
-    return counts, cut_lineage(numbered)
+    return terms, cut_lineage(numbered)
 
 
-def term_vectors(counts: DataFrame, groups: DataFrame) -> DataFrame:
-    """One written row per kept term: ``lang``, ``term``, ``n``, and ``x``, the places, counts and rates of the sources that have it."""
-    own = counts.join(groups.select("lang", "source", "at", "total", "terms"), ["lang", "source"])
-    own = own.select("lang", "term", "n", F.struct("at", rate("n").alias("p")).alias("x"))
-    return cut_lineage(own.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.collect_list("x").alias("x")))
+def term_vectors(terms: DataFrame, groups: DataFrame) -> DataFrame:
+    """Per kept term ``lang``, ``term``, ``q`` (the language's rate), ``x`` (place and rate of the sources that have it), ``lots``, ``tiles``."""
+    by_lang = groups.groupBy("lang", "lang_total", "terms", "sources").agg(
+        F.map_from_entries(F.collect_list(F.struct("source", F.struct("at", "total")))).alias("known")
+    )
+    rated = f"transform(x, e -> named_struct('at', known[e.source].at, 'p', {rate('e.n', 'known[e.source].total')}))"
+    return terms.join(by_lang, "lang").select(
+        "lang", "term", F.expr(rate("n", "lang_total")).alias("q"), F.expr(rated).alias("x"), *map(F.expr, (_LOTS, _TILES))
+    )
+
+
+_LOTS, _TILES = f"terms div {TERMS} + 1 as lots", f"(sources - 1) div {TILE} + 1 as tiles"
 
 
 def telling_terms(vectors: DataFrame, groups: DataFrame, most: int) -> DataFrame:
     """The ``most`` terms of each group that it uses more often than its language does, by ``difference``."""
-    langs = groups.select("lang", F.col("lang_total").alias("total"), "terms").distinct()
-    whole = vectors.join(langs, "lang").select("lang", "term", rate("n").alias("q"), F.explode("x").alias("x"))
-    above = whole.filter("x.p > q").select("lang", F.col("x.at").alias("at"), "term", F.col("x.p").alias("p"), "q")
+    above = vectors.select("lang", "term", "q", F.inline("x")).filter("p > q")
     named = above.join(groups.select("lang", "at", "source"), ["lang", "at"])
     valued = named.select(
         "lang", "source", F.lit("term").alias("part"), F.col("term").cast("string").alias("item"), difference("p", "q").alias("value")
@@ -260,10 +265,9 @@ def source_pairs(vectors: DataFrame, groups: DataFrame) -> DataFrame:
     Sources are dealt into tiles and terms into lots, so a task holds one lot of terms for two tiles.  A term that no source of
     both tiles has adds the same amount each time; such terms are counted, not sent.
     """
-    known = groups.withColumns({"lacking": rate("0L"), "lots": F.expr(f"terms div {TERMS} + 1"), "tiles": F.expr(f"(sources - 1) div {TILE} + 1")})
+    known = groups.selectExpr("lang", "source", "at", "terms", f"{rate('0L')} as lacking", _LOTS, _TILES)
     pairs = F.expr("explode(flatten(transform(sequence(0, tiles - 1), i -> transform(sequence(i, tiles - 1), j -> named_struct('i', i, 'j', j)))))")
-    sizes = known.select("lang", "lots", "tiles").distinct()
-    sent = vectors.join(sizes, "lang").select("lang", F.expr("pmod(xxhash64(term), lots)").alias("lot"), "x", pairs.alias("t"))
+    sent = vectors.select("lang", F.expr("pmod(xxhash64(term), lots)").alias("lot"), "x", pairs.alias("t"))
     sent = sent.withColumn("x", F.expr(f"filter(x, e -> e.at div {TILE} in (t.i, t.j))")).filter("size(x) > 0")
     sent = sent.select("lang", "lot", "t.i", "t.j", F.col("x.at").alias("at"), F.col("x.p").alias("p"))
     members = known.select("lang", "at", "lacking", "lots", pairs.alias("t")).filter(f"at div {TILE} in (t.i, t.j)")
@@ -286,6 +290,6 @@ def audit_sources(docs: DataFrame, least: int = 10, most: int = 10) -> DataFrame
     one is a language or source like any other.  A language without kept terms gives its pairs the value 0.  Equal values
     are ranked by item in order of code point.  An empty table gives no rows; other columns are not read.
     """
-    counts, groups = term_tables(docs, least)
-    vectors = term_vectors(counts, groups)
+    terms, groups = term_tables(docs, least)
+    vectors = term_vectors(terms, groups)
     return source_pairs(vectors, groups).unionByName(telling_terms(vectors, groups, most))

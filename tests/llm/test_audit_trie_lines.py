@@ -171,7 +171,7 @@ def test_audit_with_more_sources_than_a_tile(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.text("abü", min_size=1, max_size=40), max_size=12), max_size=8))
+@given(st.lists(st.lists(st.text("aü", min_size=1, max_size=60), max_size=12), max_size=8))
 def test_marks_count_documents_of_every_prefix(docs):
     sums, plain, terms, starts = Counter(), Counter(), [], []
     for words in docs:
@@ -181,7 +181,7 @@ def test_marks_count_documents_of_every_prefix(docs):
     sums.update(t + bytes([m]) for t, m in zip(terms, marks.tolist()))
     assert plain == Counter(w.encode() for words in docs for w in words)
     for level in range(5):
-        size, want, got = 2 << level, Counter(), Counter()
+        size, want, got = divergence.FIRST_LEVEL << level, Counter(), Counter()
         for words in docs:
             want.update({w.encode()[:size] for w in words})
         for key, both in sums.items():
