@@ -622,8 +622,11 @@ def _judge(tasks: dict[str, list[_Task]]):
     return judge
 
 
-def judged_wmape(chunks: DataFrame, boosters: list[Booster]) -> dict[int, float | None]:
-    """Validation WMAPE of every booster at its best round, entities that lose to the naive value falling back to it."""
+def judged_wmape(chunks: DataFrame, boosters: list[Booster]) -> dict[int, tuple[float, float]]:
+    """Validation WMAPE of every booster at its best round: entities that lose to the naive value falling back to it, and without.
+
+    Boosters without a valid row are left out.
+    """
     starts: dict[str, list] = {}
     tasks = []
     for i, b in enumerate(boosters):
@@ -638,7 +641,11 @@ def judged_wmape(chunks: DataFrame, boosters: list[Booster]) -> dict[int, float
     lost = (F.col("both") > 0) & (F.col("model_error") > F.col("naive_error"))
     total = sums.groupBy("booster").agg(
         F.sum(F.when(lost, F.col("naive_error")).otherwise(F.col("model_all"))).alias("error"),
-        F.sum(F.when(lost, F.col("truth_naive")).otherwise(F.col("truth"))).alias("truth"),
+        F.sum(F.when(lost, F.col("truth_naive")).otherwise(F.col("truth"))).alias("known"),
+        F.sum("model_all").alias("plain_error"),
+        F.sum("truth").alias("truth"),
     )
-    rows = {r["booster"]: r for r in total.collect()}
-    return {i: 100.0 * rows[i]["error"] / (rows[i]["truth"] + 1e-8) if i in rows else None for i in range(len(boosters))}
+    return {
+        r["booster"]: (100.0 * r["error"] / (r["known"] + 1e-8), 100.0 * r["plain_error"] / (r["truth"] + 1e-8))
+        for r in total.collect()
+    }

@@ -321,7 +321,8 @@ def search_tiers(
 
     ``rungs`` holds (candidates, folds, rounds), by default :func:`halving_rungs`; one rung with all folds and rounds is the full search.
     Rows are binned once for all trials, and boosters go on where the rung before left them.  A trial's score is its mean validation
-    WMAPE with fallback over the folds of the rung; folds without a valid pair are left out.
+    WMAPE with fallback over the folds of the rung; folds without a valid pair are left out.  Trials whose models all fall back
+    yet are told apart by the WMAPE without fallback.
 
     Result: ``TRIALS``; ``wmape`` only for those that reached the last rung, ``rung_wmape`` for every trial at its last rung (counted from 1).
     """
@@ -345,12 +346,10 @@ def search_tiers(
     rungs = rungs or halving_rungs(len(candidates), n_splits, iterations)
     boosters: dict[tuple[str, int, int], Booster] = {}
     alive = {tier: list(range(len(candidates))) for tier in tiers}
-    scores: dict[tuple[str, int], tuple[int, int, float | None]] = {}
+    scores: dict[tuple[str, int], tuple[int, int, float | None, float]] = {}
     for rung, (many, used, rounds) in enumerate(rungs, 1):
         for tier in tiers:
-            alive[tier] = sorted(
-                alive[tier], key=lambda t: (_worst(scores.get((tier, t), (0, 0, None))[2]) if rung > 1 else 0, t)
-            )[:many]
+            alive[tier] = sorted(alive[tier], key=lambda t: (*_rank(scores.get((tier, t))), t))[:many]
             for trial in alive[tier]:
                 for fold in range(used):
                     cut = folds[tier][fold]
@@ -362,17 +361,21 @@ def search_tiers(
         judged = judged_wmape(chunks, [b for _, b in own])
         for tier in tiers:
             for trial in alive[tier]:
-                valid = [judged[i] for i, (k, _) in enumerate(own) if k[:2] == (tier, trial) and judged[i] is not None]
-                scores[tier, trial] = (rung, len(valid), sum(valid) / len(valid) if valid else None)
+                valid = [judged[i] for i, (k, _) in enumerate(own) if k[:2] == (tier, trial) and i in judged]
+                mean, plain = (sum(v) / len(valid) for v in zip(*valid)) if valid else (None, math.inf)
+                scores[tier, trial] = (rung, len(valid), mean, plain)
     out = [
-        (tier, trial, json.dumps(candidates[trial], sort_keys=True), folds_, w if rung == len(rungs) else None, rung, w)
-        for (tier, trial), (rung, folds_, w) in sorted(scores.items())
+        (tier, trial, json.dumps(candidates[trial], sort_keys=True), n, w if rung == len(rungs) else None, rung, w)
+        for (tier, trial), (rung, n, w, _) in sorted(scores.items())
     ]
     return df.sparkSession.createDataFrame(out, TRIALS)
 
 
-def _worst(score: float | None) -> float:
-    return math.inf if score is None else score
+def _rank(score: tuple | None) -> tuple[float, float]:
+    """Order of the trials: unknown ones as they come, those without a valid row last."""
+    if score is None:
+        return 0.0, 0.0
+    return (math.inf if score[2] is None else score[2]), score[3]
 
 
 def walk_forward_search(
@@ -402,10 +405,12 @@ def save_params(best: DataFrame, path: str) -> None:
 
 
 def load_params(spark: SparkSession, path: str) -> dict[str, dict]:
-    """Parameter sets by tier; a missing or unreadable file gives none."""
+    """Parameter sets by tier; a missing file and lines that cannot be read give none."""
     try:
         rows = spark.read.schema("tier string, params string, wmape double").json(path).collect()
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return {}
     out = {}
     for row in rows:

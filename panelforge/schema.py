@@ -69,6 +69,7 @@ ROLLING_MEANS = {7: 4, 14: 7, 30: 15}
 ROLLING_STDS = {7: 4, 30: 15}
 TREND_WINDOWS = [7, 30]
 
+# Columns of the feature table, which must equal the compared library's.
 METADATA_COLUMNS = [
     "forecast_date",
     "target_date",
@@ -79,21 +80,16 @@ METADATA_COLUMNS = [
     "naive_persistence",
 ]
 CATEGORICAL_FEATURES = ["respondent"]
-LAG_FEATURES = ["demand_t"] + [f"demand_lag_{k}" for k in DEMAND_LAGS]
-ROLLING_FEATURES = [
+NUMERIC_FEATURES = [
+    "demand_t",
+    *[f"demand_lag_{k}" for k in DEMAND_LAGS],
     "demand_rolling_mean_7",
     "demand_rolling_std_7",
     "demand_rolling_mean_14",
     "demand_rolling_mean_30",
     "demand_rolling_std_30",
-]
-TREND_FEATURES = [f"demand_trend_{k}" for k in TREND_WINDOWS]
-EXOGENOUS_FEATURES = [
-    f"{series}_{suffix}"
-    for series in ("net_generation", "interchange")
-    for suffix in ["t"] + [f"lag_{k}" for k in EXOGENOUS_LAGS]
-]
-CALENDAR_FEATURES = [
+    *[f"demand_trend_{k}" for k in TREND_WINDOWS],
+    *[f"{series}_{suffix}" for series in ("net_generation", "interchange") for suffix in ("t", *(f"lag_{k}" for k in EXOGENOUS_LAGS))],
     "target_dayofweek",
     "target_is_weekend",
     "target_month",
@@ -102,21 +98,11 @@ CALENDAR_FEATURES = [
     "cos_dayofweek",
     "sin_dayofyear",
     "cos_dayofyear",
-]
-HOLIDAY_FEATURES = [
     "is_holiday",
     "is_day_before_holiday",
     "is_day_after_holiday",
     "is_bridge_day",
 ]
-NUMERIC_FEATURES = (
-    LAG_FEATURES
-    + ROLLING_FEATURES
-    + TREND_FEATURES
-    + EXOGENOUS_FEATURES
-    + CALENDAR_FEATURES
-    + HOLIDAY_FEATURES
-)
 FEATURE_COLUMNS = CATEGORICAL_FEATURES + NUMERIC_FEATURES
 FORBIDDEN_FEATURES = ["target", "benchmark_forecast", "demand_forecast"]
 

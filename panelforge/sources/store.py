@@ -23,7 +23,9 @@ def _partition_value(name: str) -> Column:
 def _folder_exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.schema(RAW_SCHEMA).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return False
     return True
 
