@@ -336,30 +336,41 @@ def best_split(signs: np.ndarray, counts: np.ndarray, min_rows: int, alpha: floa
 
 
 def _best_splits(settings: dict[int, tuple[np.ndarray, int, float, float]]):
+    """Adds up what the tasks found; rows of one booster and node meet in one partition, which holds one sum for each."""
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, error, n, key = None, 0.0, 0, None
+        totals: dict[tuple[int, int], np.ndarray] = {}
+        errors: dict[tuple[int, int], tuple[float, int]] = {}
         for batch in batches:
             for row in batch.to_pylist():
                 key = (row["booster"], row["node"])
-                error, n = error + row["error"], n + row["n"]
+                error, n = errors.get(key, (0.0, 0))
+                errors[key] = (error + row["error"], n + row["n"])
                 if row["sums"]:
                     own = np.frombuffer(row["sums"], np.int64)
-                    total = own if total is None else total + own
-        if key is None:
-            return
-        found = (-1, 0, True, 0.0)
-        if total is not None:
-            used, min_rows, alpha, lam = settings[key[0]]
-            signs, counts = total.reshape(2, len(used), _WIDTH)
-            found = best_split(signs, counts, min_rows, alpha, lam)
-            if found[0] >= 0:
-                found = (int(used[found[0]]), *found[1:])
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.float64(), pa.float64(), pa.int64()]
-        yield _record([(*key, *found, error, n)], kinds, _SPLITS)
+                    totals[key] = totals[key] + own if key in totals else own
+        out = []
+        for key, (error, n) in errors.items():
+            found = (-1, 0, True, 0.0)
+            if key in totals:
+                used, min_rows, alpha, lam = settings[key[0]]
+                signs, counts = totals[key].reshape(2, len(used), _WIDTH)
+                found = best_split(signs, counts, min_rows, alpha, lam)
+                if found[0] >= 0:
+                    found = (int(used[found[0]]), *found[1:])
+            out.append((*key, *found, error, n))
+        if out:
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.float64(), pa.float64(), pa.int64()]
+            yield _record(out, kinds, _SPLITS)
 
     return best
 
 
+def _by_key(rows: DataFrame, keys: int) -> DataFrame:
+    """All rows of a booster and node in one partition; as many partitions as the cluster works on at a time."""
+    return rows.repartition(max(1, min(keys, rows.sparkSession.sparkContext.defaultParallelism)), "booster", "node")
+
+
 _POINTS = "booster int, node int, points array<double>, weight double"
 
 
@@ -399,23 +410,23 @@ def _leaf_points(tasks: dict[str, list[_Task]]):
 
 
 def _median(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    points, weights, key = [], [], None
+    """The weighted median of the points of each booster and node."""
+    held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
     for batch in batches:
         for row in batch.to_pylist():
-            key = (row["booster"], row["node"])
-            points.append(np.array(row["points"]))
-            weights.append(np.full(len(row["points"]), row["weight"]))
-        if len(points) > 4096:
-            merged, each = np.concatenate(points), np.concatenate(weights)
-            # Even ranks of what is held stand for it, so a leaf with many chunks stays small.
-            order = np.argsort(merged, kind="stable")
-            upto = np.cumsum(each[order])
-            keep = 64 * POINTS
-            at = np.searchsorted(upto, (np.arange(keep) + 0.5) / keep * upto[-1])
-            points, weights = [merged[order][at]], [np.full(keep, upto[-1] / keep)]
-    if key is not None:
-        value = weighted_median(np.concatenate(points), np.concatenate(weights))
-        yield _record([(*key, value)], [pa.int32(), pa.int32(), pa.float64()], "booster, node, value")
+            own = held.setdefault((row["booster"], row["node"]), [])
+            own.append((np.array(row["points"]), np.full(len(row["points"]), row["weight"])))
+            if len(own) > 1024:
+                points, weights = (np.concatenate(x) for x in zip(*own))
+                # Even ranks of what is held stand for it, so a leaf with many chunks stays small.
+                order = np.argsort(points, kind="stable")
+                upto = np.cumsum(weights[order])
+                keep = 64 * POINTS
+                at = np.searchsorted(upto, (np.arange(keep) + 0.5) / keep * upto[-1])
+                own[:] = [(points[order][at], np.full(keep, upto[-1] / keep))]
+    out = [(*key, weighted_median(*(np.concatenate(x) for x in zip(*own)))) for key, own in held.items()]
+    if out:
+        yield _record(out, [pa.int32(), pa.int32(), pa.float64()], "booster, node, value")
 
 
 # ------------------------------------------------------------------ the loop
@@ -439,7 +450,7 @@ def _slim(task: _Task) -> _Task:
 def _renew_leaves(state: DataFrame, tasks: list[_Task]) -> None:
     """Leaf values by the medians of their residuals, to 1/256 of the ranks of a chunk."""
     points = state.mapInArrow(_leaf_points(_by_part([_slim(t) for t in tasks])), _POINTS)
-    medians = points.groupBy("booster", "node").applyInArrow(_median, "booster int, node int, value double")
+    medians = _by_key(points, sum(int((t.tree.feature < 0).sum()) for t in tasks)).mapInArrow(_median, "booster int, node int, value double")
     by_number = {t.number: t for t in tasks}
     for row in medians.collect():
         by_number[row["booster"]].tree.value[row["node"]] = row["value"]
@@ -498,7 +509,8 @@ def _grow_round(state: DataFrame, tasks: list[_Task], boosters: list[Booster], r
         sums = state.mapInArrow(_sum_level(_by_part([_slim(t) for t in growing]), first), _SUMS)
         settings = {t.number: (t.used, t.booster.min_rows, t.booster.alpha, t.booster.lam) for t in growing}
         found: dict[int, list] = {}
-        for row in sums.groupBy("booster", "node").applyInArrow(_best_splits(settings), _SPLITS).collect():
+        keys = sum(len(t.frontier) for t in growing) + len(growing) * first
+        for row in _by_key(sums, keys).mapInArrow(_best_splits(settings), _SPLITS).collect():
             if row["node"] == _ERROR_NODE:
                 b = boosters[row["booster"]]
                 if len(b.errors) == len(b.trees):

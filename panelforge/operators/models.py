@@ -46,7 +46,7 @@ SHARE_BOUNDS = (0.6, 1.0)
 PENALTY_BOUNDS = (1e-3, 10.0)
 
 #: Trees of a fit without a depth of its own; the number of leaves binds first.
-MAX_DEPTH = 8
+MAX_DEPTH = 6
 
 
 @dataclass(frozen=True)

@@ -1632,10 +1632,16 @@ def _(spark, sf_dir):
 # ------------------------------------------------------------------ fitted models (no SQL counterpart)
 
 
+_FITTED: dict[tuple[str, str], tuple] = {}
+
+
 def _fitted(spark, sf_dir):
-    """Split features as a written table, and the three fitted tiers."""
-    df = cut_lineage(splits.split_time_series(stored_features(spark, sf_dir)))
-    return df, models.train_all_tiers(df.filter("split = 'train'"), df.filter("split = 'val'"))
+    """Split features as a written table, and the three fitted tiers; fitted once a session for both queries below."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        df = cut_lineage(splits.split_time_series(stored_features(spark, sf_dir)))
+        _FITTED[key] = df, models.train_all_tiers(df.filter("split = 'train'"), df.filter("split = 'val'"))
+    return _FITTED[key]
 
 
 @query("tier_model_metrics")
