@@ -169,8 +169,10 @@ def term_tables(docs: DataFrame, least: int = 10) -> tuple[DataFrame, DataFrame]
     schema = "marked boolean, lang string, source string, term binary, mark int, n long"
     stored = cut_lineage(read.mapInArrow(_occurrences, schema))
     kept = kept_terms(stored.filter("marked").select("lang", "term", "mark", F.col("n").alias("docs")), least)
-    # Added up by source first: the join and the lists then meet one row per language, term and source.
-    summed = stored.filter("not marked").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
+    # Added up by source first: the join and the lists then meet one row per language, term and source.  The tasks have
+    # combined their rows already, so they are dealt out as they are.
+    keys = ["lang", "term", "source"]
+    summed = stored.filter("not marked").select(*keys, "n").repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"))
     listed = summed.join(kept, ["lang", "term"], "left_semi").groupBy("lang", "term")
     terms = cut_lineage(listed.agg(F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("x")))
     totals = terms.select("lang", F.inline("x")).groupBy("lang", "source").agg(F.sum("n").alias("total"))
@@ -187,13 +189,17 @@ def term_tables(docs: DataFrame, least: int = 10) -> tuple[DataFrame, DataFrame]
 
 
 def term_vectors(terms: DataFrame, groups: DataFrame) -> DataFrame:
-    """Per kept term ``lang``, ``term``, ``q`` (the language's rate), ``x`` (place and rate of the sources that have it), ``lots``, ``tiles``."""
+    """Per kept term, written: ``lang``, ``term``, ``q`` (the language's rate), ``x`` (place and rate of its sources), ``lots``, ``tiles``."""
     by_lang = groups.groupBy("lang", "lang_total", "terms", "sources").agg(
-        F.map_from_entries(F.collect_list(F.struct("source", F.struct("at", "total")))).alias("known")
+        F.map_from_entries(F.collect_list(F.struct("source", "at"))).alias("places"),
+        F.transform(F.sort_array(F.collect_list(F.struct("at", "total"))), lambda e: e["total"]).alias("totals"),
     )
-    rated = f"transform(x, e -> named_struct('at', known[e.source].at, 'p', {rate('e.n', 'known[e.source].total')}))"
-    return terms.join(by_lang, "lang").select(
-        "lang", "term", F.expr(rate("n", "lang_total")).alias("q"), F.expr(rated).alias("x"), *map(F.expr, (_LOTS, _TILES))
+    placed = "transform(x, e -> named_struct('at', places[e.source], 'n', e.n))"
+    rated = f"transform({placed}, e -> named_struct('at', e.at, 'p', {rate('e.n', 'get(totals, cast(e.at as int))')}))"
+    return cut_lineage(
+        terms.join(by_lang, "lang").select(
+            "lang", "term", F.expr(rate("n", "lang_total")).alias("q"), F.expr(rated).alias("x"), *map(F.expr, (_LOTS, _TILES))
+        )
     )
 
 
