@@ -1,4 +1,9 @@
-"""A corpus pipeline: each stage reads what the stage before it kept, as written Parquet."""
+"""A corpus pipeline: each stage reads what the stage before it kept, as written Parquet.
+
+Null texts are empty texts, and an empty text is judged by the classifier like any other; null sources are a source of their own.  Rows that
+repeat a text are one after the second stage, whatever their ids, and null ids come before all others.  Columns beside those of
+documents pass all stages but the last.  An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
