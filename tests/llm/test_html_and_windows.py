@@ -1,6 +1,7 @@
 """Site templates against a plain count, pages that mark-up alone misjudges, and substring dedup on words made to collide."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -62,9 +63,12 @@ def test_templates_equal_a_plain_count(spark, settings):
 def test_templates_alone_remove_an_unclassed_menu(spark):
     rows = [(i, *r) for i, r in enumerate(site(random.Random(1), "a.org", 30))]
     bare = [(i, u, p.replace("<article>", "<div>").replace("</article>", "</div>")) for i, u, p in rows]
-    assert html_main.main_text(bare[3][2]).startswith("Menu")
+    menus = {i: re.search(r"Menu \d", p)[0] for i, _, p in bare}
+    often = {m for m, n in Counter(menus.values()).items() if n >= 9}  # 30 % of 30 pages
+    assert html_main.main_text(bare[3][2]).startswith("Menu") and often
     got = {r.page_id: r.text for r in html_main.extract(spark.createDataFrame(bare, "page_id long, url string, html string")).collect()}
-    assert all(text.startswith("T ") and "Menu" not in text and "end" not in text for text in got.values())
+    for i, text in got.items():
+        assert ("Menu" in text) == (menus[i] not in often) and "end" not in text and f"T {i}" in text
 
 
 def test_a_block_of_a_part_of_a_large_host_goes(spark):
