@@ -9,14 +9,14 @@ A document counts once for a prefix though several of its terms share it.  To co
 a document are sorted, and each carries the first level at which its prefix differs from the term before: it stands for its document
 at this level and all deeper ones.  Discarding takes whole prefixes, so the term before is either still there or had another prefix
 anyway, and the mark stays right.  Documents can therefore be added up per task by (language, term, mark), without sources; occurrences
-by (language, source, term) are added up beside them in the same pass and joined with the kept terms once.
+by (language, source, term) are added up beside them in the same pass and joined with the kept terms once.  Both are counted in bulk: the
+terms of a block of documents are numbered, sorted once, and sorted numbers are counted.
 
 All counts are whole numbers and all arithmetic is exact; rates use decimals of 38 digits.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from panelforge.llm.text import filled, slices
 from panelforge.session import cut_lineage
 
-#: In lower-cased UTF-8: runs of letters a-z and bytes of other characters than ASCII.
-_TERM = re.compile(rb"[a-z\x80-\xff]+")
-_GAP = re.compile(rb"[^a-z\x80-\xff]")
+#: On UTF-8: A-Z lower-cased, every other ASCII byte but letters a space.
+_LETTERS = bytes(b if b > 127 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 FIRST_LEVEL = 4
-_PIECE, _HELD = 1 << 20, 1 << 20
+#: Bytes of text that are read at once; terms, repeats included, that a task adds up at once, as far as whole documents go; rows of a batch.
+_PIECE, _HELD, _ROWS = 1 << 20, 1 << 23, 1 << 16
 #: Bytes of a term that are compared in bulk, and the level whose prefix they are.
-_MARKS, _HEAD, _FULL = [bytes((i,)) for i in range(64)], FIRST_LEVEL << 2, 2
+_HEAD, _FULL = FIRST_LEVEL << 2, 2
 #: The level at which surviving terms are added up over all tasks: prefixes of 4 bytes have been cut, 8 are next.
 _JOINED_AT = 1
 #: Sources per tile of the pair sums, terms per task of them.
@@ -55,11 +55,11 @@ OCCURRENCES = pa.schema(
 
 def read_terms(text: bytes, plain: Counter) -> list[bytes]:
     """The different terms of a text in order; ``plain`` counts them all.  Texts are read in pieces, so only different terms are held."""
-    lowered, found, at = text.lower(), set(), 0
+    lowered, found, at = text.translate(_LETTERS), set(), 0
     while at < len(lowered):
-        gap = _GAP.search(lowered, min(len(lowered), at + _PIECE))
-        end = gap.start() if gap else len(lowered)
-        terms = _TERM.findall(lowered, at, end)
+        gap = lowered.find(b" ", min(len(lowered), at + _PIECE))
+        end = gap if gap >= 0 else len(lowered)
+        terms = lowered[at:end].split()
         plain.update(terms)
         found.update(terms)
         at = max(end, at + 1)
@@ -85,36 +85,84 @@ def term_marks(terms: list[bytes], starts: list[int]) -> np.ndarray:
     return marks
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    marked: dict[str, Counter] = defaultdict(Counter)
-    plain: dict[tuple[str, str], Counter] = defaultdict(Counter)
-
-    def rows(held: dict) -> Iterator[pa.RecordBatch]:
-        for key in list(held):
-            sums = held.pop(key)
-            n = len(sums)
-            if isinstance(key, str):
-                terms, marks = [k[:-1] for k in sums], [k[-1] for k in sums]
-                columns = (pa.repeat(True, n), pa.repeat(key, n), pa.nulls(n, pa.string()), terms, marks, list(sums.values()))
-            else:
-                columns = (pa.repeat(False, n), pa.repeat(key[0], n), pa.repeat(key[1], n), list(sums), pa.nulls(n, pa.int32()), list(sums.values()))
-            arrays = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, OCCURRENCES)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=OCCURRENCES)
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different keys and how often each occurs."""
+    keys.sort()
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.diff(np.r_[at, len(keys)])
+
+
+class _Block:
+    """Documents of a task whose terms are added up at once, as numbers: a term is its place among the terms of the block."""
+
+    def __init__(self) -> None:
+        self.places: defaultdict[bytes, int] = defaultdict()
+        self.places.default_factory = self.places.__len__
+        self.ids: list[np.ndarray] = []
+        self.groups: list[tuple[str, str]] = []
+        self.held = 0
+
+    def add(self, lang: str, source: str, terms: list[bytes]) -> None:
+        self.ids.append(np.fromiter(map(self.places.__getitem__, terms), np.int32, len(terms)))
+        self.groups.append((lang, source))
+        self.held += len(terms) + 1
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        terms = sorted(self.places)
+        if not terms:
+            return
+        n = len(terms)
+        rank = np.empty(n, np.int64)
+        rank[np.fromiter(map(self.places.__getitem__, terms), np.int64, n)] = np.arange(n)
+        names, sizes = pa.array(terms, pa.binary()), [len(ids) for ids in self.ids]
+        ranks = rank[np.concatenate(self.ids)]
+        groups, langs = sorted(set(self.groups)), sorted({lang for lang, _ in self.groups})
+        group_of = np.array(list(map({g: i for i, g in enumerate(groups)}.__getitem__, self.groups)))
+        lang_of = np.array([langs.index(lang) for lang, _ in groups])
+
+        keys, counts = _counted(np.repeat(group_of, sizes) * n + ranks)
+        yield from _rows(False, pa.array([g[0] for g in groups]).take(pa.array(keys // n)), pa.array([g[1] for g in groups]).take(pa.array(keys // n)), names.take(pa.array(keys % n)), None, counts)
+        inside, _ = _counted(np.repeat(np.arange(len(sizes)), sizes) * n + ranks)
+        doc, ranks = inside // n, inside % n
+        # Prefixes of a level are numbered along the sorted terms; a term's mark is the number of levels at which it has that of the one before.
+        marks, first = np.zeros(len(ranks), np.int64), np.r_[True, doc[1:] != doc[:-1]]
+        steps = term_marks(terms, [0])
+        for level in range(int(steps.max())):
+            prefix = np.cumsum(steps <= level)[ranks]
+            marks[1:] += prefix[1:] == prefix[:-1]
+        marks[first] = 0
+        deepest = int(marks.max()) + 1
+        keys, counts = _counted((lang_of[group_of[doc]] * n + ranks) * deepest + marks)
+        found, marks = keys // deepest, keys % deepest
+        yield from _rows(True, pa.array(langs).take(pa.array(found // n)), None, names.take(pa.array(found % n)), marks, counts)
+
+
+def _rows(marked: bool, lang: pa.Array, source: pa.Array | None, term: pa.Array, mark: np.ndarray | None, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    columns = zip([pa.repeat(marked, len(n)), lang, source, term, mark, n], OCCURRENCES)
+    arrays = [pa.nulls(len(n), f.type) if c is None else c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in columns]
+    whole = pa.RecordBatch.from_arrays(arrays, schema=OCCURRENCES)
+    for at in range(0, len(n), _ROWS):
+        yield whole.slice(at, _ROWS)
+
 
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    block = _Block()
     for part in slices(batches, "text"):
-        langs = part.column("lang").to_pylist()
-        terms, starts = [], []
-        for lang, source, text in zip(langs, part.column("source").to_pylist(), part.column("text").to_pylist()):
-            starts.append(len(terms))
-            terms += read_terms(text.encode(), plain[lang, source])
-        keys = [term + _MARKS[mark] for term, mark in zip(terms, term_marks(terms, [s for s in starts if s < len(terms)]).tolist())]
-        for lang, a, b in zip(langs, starts, [*starts[1:], len(terms)]):
-            marked[lang].update(keys[a:b])
-        for held in (marked, plain):
-            if sum(map(len, held.values())) >= _HELD:
-                yield from rows(held)
-    for held in (marked, plain):
-        yield from rows(held)
+        for lang, source, text in zip(*(part.column(c).to_pylist() for c in ("lang", "source", "text"))):
+            raw = text.encode()
+            if len(raw) <= _PIECE:
+                block.add(lang, source, raw.translate(_LETTERS).split())
+            else:  # by itself: only its different terms are held
+                plain: Counter = Counter()
+                terms = read_terms(raw, plain)
+                n = len(terms)
+                names = pa.array(terms, pa.binary())
+                yield from _rows(False, pa.repeat(lang, n), pa.repeat(source, n), names, None, np.array([plain[t] for t in terms], np.int64))
+                yield from _rows(True, pa.repeat(lang, n), None, names, term_marks(terms, [0][:n]), np.ones(n, np.int64))
+            if block.held >= _HELD:
+                yield from block.rows()
+                block = _Block()
+    yield from block.rows()
 
 
 def kept_terms(occurrences: DataFrame, least: int) -> DataFrame:
@@ -128,6 +176,8 @@ def kept_terms(occurrences: DataFrame, least: int) -> DataFrame:
         rows = alive
         if kept is not None:
             parents = kept.select(F.col("lang").alias("_lang"), "prefix")
+            if level > _JOINED_AT:  # distinct prefixes, looked up without sorting the terms
+                parents = parents.hint("shuffle_hash")
             under = (F.col("lang") == F.col("_lang")) & (F.substring("term", 1, size // 2) == F.col("prefix"))
             rows = alive.join(parents, under, "left_semi")
         if level == _JOINED_AT:
@@ -169,11 +219,9 @@ def term_tables(docs: DataFrame, least: int = 10) -> tuple[DataFrame, DataFrame]
     schema = "marked boolean, lang string, source string, term binary, mark int, n long"
     stored = cut_lineage(read.mapInArrow(_occurrences, schema))
     kept = kept_terms(stored.filter("marked").select("lang", "term", "mark", F.col("n").alias("docs")), least)
-    # Added up by source first: the join and the lists then meet one row per language, term and source.  The tasks have
-    # combined their rows already, so they are dealt out as they are.
-    keys = ["lang", "term", "source"]
-    summed = stored.filter("not marked").select(*keys, "n").repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"))
-    listed = summed.join(kept, ["lang", "term"], "left_semi").groupBy("lang", "term")
+    # Dealt out once, by term: the kept terms are looked up there, and sums by source and lists by term need no other exchange.
+    found = stored.filter("not marked").select("lang", "term", "source", "n").join(kept.hint("shuffle_hash"), ["lang", "term"], "left_semi")
+    listed = found.groupBy("lang", "term", "source").agg(F.sum("n").alias("n")).groupBy("lang", "term")
     terms = cut_lineage(listed.agg(F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("x")))
     totals = terms.select("lang", F.inline("x")).groupBy("lang", "source").agg(F.sum("n").alias("total"))
     per_lang = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("lang_total"))
